@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 from .sentencepieces import encode_texts
+from .token_counts import count_tokens
+from .token_records import records_of
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +20,20 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records_of(common.table(spark, sf_dir, "documents"), common.tokenizer_file("word_bpe_49k.json"), end_id=2)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(common.table(spark, sf_dir, "documents"), common.tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_sentencepiece": op3_sentencepiece}
+    return {
+        "op3_sentencepiece": op3_sentencepiece,
+        "op4_token_records": op4_token_records,
+        "op10_token_counts": op10_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
