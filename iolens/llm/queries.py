@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
+from .neardup import near_duplicates
 from .sentencepieces import encode_texts
 from .token_counts import count_tokens
 from .token_records import records_of
@@ -24,6 +25,10 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records_of(common.table(spark, sf_dir, "documents"), common.tokenizer_file("word_bpe_49k.json"), end_id=2)
 
 
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(common.table(spark, sf_dir, "documents"), common.tokenizer_file("piece_bpe_32k.model"))
 
@@ -32,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sentencepiece": op3_sentencepiece,
         "op4_token_records": op4_token_records,
+        "op5_minhash_neardup": op5_minhash_neardup,
         "op10_token_counts": op10_token_counts,
     }
 
