@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
+from .language_id import fit, identify
 from .neardup import near_duplicates
 from .sentencepieces import encode_texts
 from .token_counts import count_tokens
@@ -29,6 +31,16 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def held_out(doc_id: str = "doc_id"):
+    """A quarter of all documents, by their id: never learnt from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs.where(~held_out())), {"doc_id": F.col("doc_id"), "held_out": held_out()})
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(common.table(spark, sf_dir, "documents"), common.tokenizer_file("piece_bpe_32k.model"))
 
@@ -38,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": op3_sentencepiece,
         "op4_token_records": op4_token_records,
         "op5_minhash_neardup": op5_minhash_neardup,
+        "op8_language_id": op8_language_id,
         "op10_token_counts": op10_token_counts,
     }
 
