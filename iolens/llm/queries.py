@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .html_extract import extract
 from .language_id import fit, identify
 from .neardup import near_duplicates
 from .sentencepieces import encode_texts
@@ -15,6 +16,10 @@ from .token_counts import count_tokens
 from .token_records import records_of
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(common.table(spark, sf_dir, "pages"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(
         common.table(spark, sf_dir, "documents"),
@@ -47,6 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": op1_html_text,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_token_records": op4_token_records,
         "op5_minhash_neardup": op5_minhash_neardup,
