@@ -14,6 +14,7 @@ from .neardup import near_duplicates
 from .sentencepieces import encode_texts
 from .token_counts import count_tokens
 from .token_records import records_of
+from .webp import decode_media, store_texts
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs.where(~held_out())), {"doc_id": F.col("doc_id"), "held_out": held_out()})
 
 
+def op9_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode_media(
+        store_texts(common.table(spark, sf_dir, "documents")),
+        outputs=("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"),
+    )
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(common.table(spark, sf_dir, "documents"), common.tokenizer_file("piece_bpe_32k.model"))
 
@@ -57,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_records": op4_token_records,
         "op5_minhash_neardup": op5_minhash_neardup,
         "op8_language_id": op8_language_id,
+        "op9_webp": op9_webp,
         "op10_token_counts": op10_token_counts,
     }
 
