@@ -14,6 +14,7 @@ from .neardup import near_duplicates
 from .sentencepieces import encode_texts
 from .token_counts import count_tokens
 from .token_records import records_of
+from .vector_search import search
 from .webp import decode_media, store_texts
 
 
@@ -21,6 +22,11 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(common.table(spark, sf_dir, "pages"))
 
 
+def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(
         common.table(spark, sf_dir, "documents"),
@@ -61,6 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
+        "op2_vector_search": op2_vector_search,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_token_records": op4_token_records,
         "op5_minhash_neardup": op5_minhash_neardup,
