@@ -14,8 +14,11 @@ from a sum over files, not over documents.
 from __future__ import annotations
 
 import random
+import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -131,30 +134,58 @@ def unframe(records: list[bytes]) -> list[bytes]:
 # -- tokenizing ----------------------------------------------------------------
 
 
+#: Text without white space in which letters, digits and lower case mean the same to Python as to the tokenizer, and which is composed.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-þ]+").fullmatch
+# The tokenizer's pattern, for such text in lower case.
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_PLAIN_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-þ]+|[0-9]|[^a-zß-öø-þ0-9]+").findall
+
+
 class WordIds(dict):
     """Text between spaces -> its ids' bytes, from the tokenizer itself.
 
     Sound for tokenizers that end tokens at white space and drop it, as checked by :func:`tokenizer`: the ids of a text are then those
-    of its parts between spaces, one after the other.
+    of its parts between spaces, one after the other. Parts of plain letters skip the tokenizer's normalizer and splitter, which are most of its
+    time, and go to its model; all others take the whole way.
     """
 
-    KEPT = 400_000
+    KEPT = 800_000
     LONGEST_KEPT = 64
 
     def __init__(self, t, dtype: str):
         super().__init__()
-        self.t, self.dtype = t, dtype
+        from tokenizers import pre_tokenizers
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self and len(w) <= self.LONGEST_KEPT]
-        if len(self) + len(new) > self.KEPT:
-            self.clear()
-            new = [w for w in words if len(w) <= self.LONGEST_KEPT]
-        for w, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, self.dtype).tobytes()
+        self.t, self.dtype, self.model = t, dtype, t.model
+        self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = str.maketrans({c: spell(c)[0][0] for c in map(chr, range(0xC0, 0x100))})
+        self.pieces: dict[str, bytes] = {}
 
     def __missing__(self, w: str) -> bytes:
-        return np.array(self.t.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
+        if len(w) > self.LONGEST_KEPT:
+            return np.array(self.t.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
+        if w.isalpha() and w.isascii():
+            p = w.lower()
+            out = self.pieces.get(p) or self.piece(p)
+        elif _PLAIN(w) and "<|" not in w:
+            out = b"".join([self.pieces.get(p) or self.piece(p) for p in _PLAIN_SPLIT(w.lower())])
+        else:
+            out = np.array(self.t.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
+        if len(self) >= self.KEPT:
+            self.clear()
+        self[w] = out
+        return out
+
+    def piece(self, p: str) -> bytes:
+        ids = array(self.code, [x.id for x in self.model.tokenize(p if p.isascii() else p.translate(self.spelling))])
+        if sys.byteorder != "little":
+            ids.byteswap()
+        out = ids.tobytes()
+        if len(self.pieces) >= self.KEPT:
+            self.pieces.clear()
+        self.pieces[p] = out
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -168,16 +199,15 @@ def tokenizer(path: str, dtype: str) -> WordIds:
     with open(path, encoding="utf-8") as f:
         said = json.load(f)
     splits = [p for p in (said["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
-    if not splits or splits[0]["behavior"] != "Removed" or not splits[0]["invert"] or said["post_processor"] or any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in said["added_tokens"]):
+    norms = [(n["type"], (n.get("pattern") or {}).get("Regex")) for n in (said["normalizer"] or {}).get("normalizers", [])]
+    if norms != [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)] or len(splits) != 1 or splits[0]["pattern"] != {"Regex": _SPLIT} or splits[0]["behavior"] != "Removed" or not splits[0]["invert"] or said["post_processor"] or any(t["lstrip"] or t["rstrip"] or " " in t["content"] for t in said["added_tokens"]):
         raise ValueError("only tokenizers that drop white space are supported")
     return WordIds(Tokenizer.from_file(path), dtype)
 
 
 def encode_payloads(texts: list[str | None], words: WordIds, end: bytes) -> list[bytes]:
-    cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-    words.learn({w for ws in cut for w in ws})
     get = words.__getitem__
-    return [b"".join(map(get, ws)) + end for ws in cut]
+    return [(b"".join(map(get, t.replace("\n", " ").split(" "))) if t else b"") + end for t in texts]
 
 
 # -- files ---------------------------------------------------------------------

@@ -49,6 +49,13 @@ def test_ids_are_the_librarys(text):
     assert np.frombuffer(got, "<u2").tolist() == LIB.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.characters(min_codepoint=33, max_codepoint=255), min_size=1, max_size=12) | st.sampled_from(["don't", "it'LL", "ÀÉß", "a's1", "'", "<|startoftext|>x"]), max_size=8).map(" ".join))
+def test_plain_words_are_the_librarys(text):
+    got = R.encode_payloads([text], R.tokenizer(PATH, "<u2"), b"")[0]
+    assert np.frombuffer(got, "<u2").tolist() == LIB.encode(text, add_special_tokens=False).ids
+
+
 def test_files(spark, tmp_path):
     texts = {9: "Hello there", 3: None, 5: "", 7: "a b " * 40_000, 1: "x\ny", 4: "same", 6: "same"}
     rows = [(i, t, 0) for i, t in texts.items()] + [(None, "lost", 0), (3, None, 0), (9, "Hello there", 0)]
