@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import common
 from .html_extract import extract
 from .language_id import fit, identify
+from .mixing import ANCHOR, WEIGHTS, label_domain, mix_rates
 from .neardup import near_duplicates
 from .sentencepieces import encode_texts
 from .token_counts import count_tokens
@@ -43,6 +44,10 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_rates(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), label_domain(), WEIGHTS, anchor=ANCHOR)
+
+
 def held_out(doc_id: str = "doc_id"):
     """A quarter of all documents, by their id: never learnt from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": op3_sentencepiece,
         "op4_token_records": op4_token_records,
         "op5_minhash_neardup": op5_minhash_neardup,
+        "op7_mixing": op7_mixing,
         "op8_language_id": op8_language_id,
         "op9_webp": op9_webp,
         "op10_token_counts": op10_token_counts,
