@@ -16,6 +16,7 @@ from .sentencepieces import encode_texts
 from .token_counts import count_tokens
 from .token_records import records_of
 from .vector_search import search
+from .warc import header_lines, resolve_revisits
 from .webp import decode_media, store_texts
 
 
@@ -44,6 +45,72 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Two crawls of the pages: a full response each, a minute apart, and a day later a 304 answer at another spelling of the URL.
+
+    One page in seven has changed its entity tag meanwhile; one in five answers without a tag, by its modification time.
+    """
+    html = F.coalesce("html", F.lit(""))
+    n, tag = F.col("page_id"), F.concat(F.lit('"'), F.substring(F.md5(html), 1, 8), F.lit('"'))
+    text = lambda c: c.cast("string")
+    base = pages.select("page_id", "url", F.md5(html).alias("digest"), F.octet_length(html).cast("bigint").alias("n_bytes"), tag.alias("tag"))
+    first = base.select(
+        F.concat(F.lit("r"), n).alias("record_id"), F.lit("response").alias("warc_type"), F.col("url").alias("uri"), (n * 60).alias("at"), F.lit(200).alias("status"),
+        F.create_map(
+            F.lit("cache-control"), F.lit("max-age=60"), F.lit("content-length"), text(F.col("n_bytes")), F.lit("content-type"), F.lit("text/html"), F.lit("date"), text(n * 60),
+            F.lit("etag"), F.col("tag"), F.lit("last-modified"), text(n % 1000),
+        ).alias("headers"), "digest", "n_bytes",
+    )
+    when = n * 60 + 86_400
+    second = base.select(
+        F.concat(F.lit("n"), n).alias("record_id"), F.lit("revisit").alias("warc_type"), F.concat(F.col("url"), F.lit("#again")).alias("uri"), when.alias("at"), F.lit(304).alias("status"),
+        F.map_filter(
+            F.create_map(
+                F.lit("cache-control"), F.lit("max-age=600"), F.lit("content-length"), F.lit("0"), F.lit("date"), text(when), F.lit("x-cache"), F.lit("HIT"),
+                F.lit("etag"), F.when(n % 5 == 0, F.lit(None)).when(n % 7 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), F.col("tag"))), F.lit("last-modified"), text(n % 1000),
+            ), lambda k, v: v.isNotNull(),
+        ).alias("headers"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("bigint").alias("n_bytes"),
+    )
+    return first.unionByName(second)
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve_revisits(captures(common.table(spark, sf_dir, "pages"))).withColumn("headers", header_lines(F.col("headers")))
+
+
+#: The same in SQL: captures, canonical URLs, the latest earlier response, validators, merged headers.
+OP6_SQL = r"""
+WITH base AS (
+  SELECT page_id n, url, md5(coalesce(html, '')) digest, strlen(coalesce(html, '')) n_bytes, '"' || substr(md5(coalesce(html, '')), 1, 8) || '"' tag FROM pages
+), parts AS (
+  SELECT *, regexp_replace(trim(url), '#.*$', '') u FROM base
+), heads AS (
+  SELECT *, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) head FROM parts
+), cut AS (
+  SELECT *, substr(u, length(head) + 1) rest,
+    regexp_replace(regexp_replace(regexp_replace(head, '^https?://', 'https://'), '^(https://)([^@]*@)?(www[.])?', '\1'), '^(https://[^:]*):(80|443)?$', '\1') host
+  FROM heads
+), listed AS (
+  SELECT *, list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*[?](.*)$', 1), '&'), lambda p : p <> '' AND NOT regexp_matches(p, '^(?i)(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) params FROM cut
+), canon AS (
+  SELECT n, url, digest, n_bytes, tag, CASE WHEN head = '' THEN u ELSE host || regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '')
+    || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canonical FROM listed
+), met AS (
+  SELECT a.n, a.url, a.canonical, a.tag, CASE WHEN a.n % 5 = 0 THEN NULL WHEN a.n % 7 = 0 THEN '"other"' ELSE a.tag END AS mine,
+    max(struct_pack(t := b.n * 60, id := 'r' || b.n, n := b.n, digest := b.digest, n_bytes := b.n_bytes, tag := b.tag)) was
+  FROM canon a LEFT JOIN canon b ON a.canonical = b.canonical AND b.n * 60 < a.n * 60 + 86400 GROUP BY ALL
+), judged AS (
+  SELECT *, CASE WHEN was IS NULL THEN 'no response' WHEN CASE WHEN mine IS NOT NULL THEN mine = was.tag ELSE n % 1000 = was.n % 1000 END THEN 'resolved' ELSE 'changed' END AS outcome FROM met
+)
+SELECT 'n' || n AS record_id, url || '#again' AS uri, canonical, n * 60 + 86400 AS "at", outcome,
+  CASE WHEN outcome = 'resolved' THEN was.id END AS refers_to, CASE WHEN outcome = 'resolved' THEN was.digest END AS digest, CASE WHEN outcome = 'resolved' THEN was.n_bytes END AS n_bytes,
+  'cache-control: max-age=600' || chr(10) || 'content-length: ' || CASE WHEN outcome = 'resolved' THEN CAST(was.n_bytes AS VARCHAR) || chr(10) || 'content-type: text/html' ELSE '0' END || chr(10)
+  || 'date: ' || CAST(n * 60 + 86400 AS VARCHAR) || chr(10) || CASE WHEN mine IS NOT NULL THEN 'etag: ' || CASE WHEN mine = '"other"' THEN mine ELSE 'W/' || mine END || chr(10) WHEN outcome = 'resolved' THEN 'etag: ' || was.tag || chr(10) ELSE '' END
+  || 'last-modified: ' || CAST(n % 1000 AS VARCHAR) || chr(10) || 'x-cache: HIT' AS headers
+FROM judged
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_rates(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), label_domain(), WEIGHTS, anchor=ANCHOR)
 
@@ -76,6 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentencepiece": op3_sentencepiece,
         "op4_token_records": op4_token_records,
         "op5_minhash_neardup": op5_minhash_neardup,
+        "op6_warc_revisits": op6_warc_revisits,
         "op7_mixing": op7_mixing,
         "op8_language_id": op8_language_id,
         "op9_webp": op9_webp,
@@ -84,4 +152,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc_revisits": OP6_SQL}
