@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from ..model import BLOCK_BYTES
 
-# Polynomials (without their leading term) and window sizes of the two chunkers in use.
+# Polynomials and window sizes of the two chunkers in use. The first has a leading term t**32 besides, the top bit of the other is its t**63.
 POLY_32, WINDOW_32 = 0x4D964885, 32
-POLY_64, WINDOW_64 = 0xBFE6B8A5BF378D83, 16
+POLY_63, WINDOW_63 = 0xBFE6B8A5BF378D83, 16
 
 
 @dataclass(frozen=True)
@@ -35,9 +35,9 @@ class ChunkRule:
     poly: int = POLY_32
 
     @classmethod
-    def of_average(cls, bits: int = 7, window: int = WINDOW_64) -> ChunkRule:
+    def of_average(cls, bits: int = 7, window: int = WINDOW_63) -> ChunkRule:
         """Chunks of about 2**bits bytes, at least a quarter of that (16 or more) and at most four times."""
-        return cls(max(16, 1 << max(bits - 2, 0)), 4 << bits, (1 << bits) - 1, 0, window, 64, POLY_64)
+        return cls(max(16, 1 << max(bits - 2, 0)), 4 << bits, (1 << bits) - 1, 0, window, 63, POLY_63 ^ 1 << 63)
 
 
 def multiply(a: int, b: int, poly: int, bits: int) -> int:

@@ -196,6 +196,9 @@ class BunchSource(DataSource):
     def reader(self, schema):
         return _Reader(schema, self.options, bunch_records)
 
+    def writer(self, schema, overwrite):
+        return BunchWriter(schema, self.options)
+
 
 class _Done(WriterCommitMessage):
     def __init__(self, file: str):
@@ -240,6 +243,52 @@ class TraceWriter(DataSourceWriter):
                 fs.delete_file(m.file)
 
 
+class BunchWriter(TraceWriter):
+    """Writes rows (bunch, at, host, block, nbytes, is_read, data) with the rows of a bunch together: one bunch file a task."""
+
+    def write(self, rows):
+        import uuid
+
+        from pyspark import TaskContext
+
+        fs, root = self._fs()
+        fs.create_dir(root, recursive=True)
+        name = f"{root}/.{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+        body, held, n, bunches, total, genesis = [], [], None, 0, 0, None
+
+        def close() -> None:
+            nonlocal bunches, total
+            if held:
+                body.append(struct.pack("<2Q", len(held), held[0]["at"]))
+                for r in held:
+                    host = r["host"].encode()
+                    if len(host) >= NAME_BYTES:
+                        raise BadTrace("name too long for a bunch file")
+                    body.append(host.ljust(NAME_BYTES, b"\0") + struct.pack("<3I", r["block"], r["nbytes"], int(r["is_read"])) + bytes(r["data"] or b"").ljust(HASH_BYTES - 1, b"0")[: HASH_BYTES - 1] + b"\n")
+                bunches, total = bunches + 1, total + len(held)
+                held.clear()
+
+        with fs.open_output_stream(f"{name}.body") as f:
+            for r in rows:
+                r = dict(zip(self.fields, r, strict=True))
+                if r["bunch"] != n:
+                    close()
+                    n = r["bunch"]
+                genesis = r["at"] if genesis is None else min(genesis, r["at"])
+                held.append(r)
+                f.write(b"".join(body))
+                body.clear()
+            close()
+            f.write(b"".join(body))
+        # the header counts what follows, so it is written last and put in front
+        with fs.open_output_stream(name) as f, fs.open_input_stream(f"{name}.body") as g:
+            f.write(struct.pack("<4Q", VERSION, genesis or 0, bunches, total))
+            while part := g.read(1 << 20):
+                f.write(part)
+        fs.delete_file(f"{name}.body")
+        return _Done(name)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TraceSource)
     spark.dataSource.register(BunchSource)
