@@ -48,6 +48,12 @@ def explode_blocks(df: DataFrame, block_size: int = BLOCK_BYTES, content: str =
 
     Without ``nbytes`` the content's own length counts, and a shorter last slice stays short. Empty requests have no block.
     """
+    if nbytes is None and df.schema[content].dataType.simpleString() == "string":
+        # one pass over the characters; substring() would count them from the start for every slice
+        slices = F.regexp_extract_all(F.col(content), F.lit(f"(?s).{{1,{block_size}}}"), F.lit(0))
+        rest = [c for c in df.columns if c not in (content, "blk")]
+        out = df.select(*rest, "blk", F.posexplode(slices).alias("part", content))
+        return out.select(*(F.col("blk") + F.col("part") if c == "blk" else F.col(c) for c in df.columns), "part").toDF(*df.columns, "part")
     n = F.col(nbytes) / block_size if nbytes else F.ceil(F.length(content) / block_size)
     parts = F.filter(F.sequence(F.lit(0), F.greatest(n.cast("int"), F.lit(1)) - 1), lambda i: i < n.cast("int"))
     out = df.withColumn("part", F.explode(parts))
