@@ -65,14 +65,19 @@ _WORDS = re.compile(r"[a-z]+")
 _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
-def _marked(attrs: str) -> tuple[bool, bool]:
-    """(boilerplate, main) by attributes."""
+#: Of an article's own parts these words speak of its head, and whole pages and articles list what they contain.
+HEAD_WORDS = frozenset("header masthead banner".split())
+WHOLE = frozenset("html body main article".split())
+
+
+def _marked(attrs: str, name_of: str, inside: bool) -> tuple[bool, bool]:
+    """(boilerplate, main) of an element by its attributes."""
     bad = main = False
     for name, a, b, c in _ATTR.findall(attrs):
         name = name.lower()
         value = (a or b or c).lower()
-        if name in ("class", "id", "role") and not BAD_WORDS.isdisjoint(_WORDS.findall(value)):
-            bad = True
+        if name in ("class", "id", "role") and name_of not in WHOLE and not BAD_WORDS.isdisjoint(_WORDS.findall(value)):
+            bad = bad or not inside or not (BAD_WORDS.intersection(_WORDS.findall(value)) <= HEAD_WORDS)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             bad = True
         elif name == "role" and value in ("main", "article"):
@@ -153,7 +158,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             flush()
         if name in VOID:
             continue
-        worse, better = _marked(m[3]) if m[3].strip() else (False, False)
+        worse, better = _marked(m[3], name, main) if m[3].strip() else (False, False)
         inside = main or better or name in MAIN
         # the header of an article is part of it
         worse = worse or (name in BOILER and not (name == "header" and main))

@@ -28,6 +28,12 @@ def test_without_marks():
     assert text.count("A sentence") == 3
 
 
+def test_names_of_classes():
+    page = "<body class='has-sidebar ad-free'><article class='post with-comments'><h1 class='entry-header'>H</h1><p>One.</p><div class='related-posts'>More</div><section id='comment-3'>No</section><p class=lead>Two.</p></article></body>"
+    assert main_text(page) == "H One. Two."
+    assert main_text(f"<div class='site-header'>{'Head words. ' * 30}</div><p>{'Body words. ' * 30}</p>") == ("Body words. " * 30).strip()
+
+
 @pytest.mark.parametrize("page", [None, "", " \n", "<p>", "<!-- x", "<script>a", "<style>x</style>", "<nav>menu</nav>", "<a href='"])
 def test_nothing(page):
     assert main_text(page) == ""
