@@ -85,3 +85,46 @@ def redirected(accesses: DataFrame, intra_only: bool = False) -> DataFrame:
     out = rows.join(led.select("seq", "lead_vol", "lead_blk"), "seq", "left")
     out = out.withColumns({"key_vol": F.coalesce("lead_vol", "vol"), "key_blk": F.coalesce("lead_blk", "blk")})
     return out.withColumn("self_leader", F.when(F.col("clean"), (F.col("key_vol") == F.col("vol")) & (F.col("key_blk") == F.col("blk")))).drop("lead_vol", "lead_blk")
+
+
+def mapped_state(accesses: DataFrame, write_updates: bool = False) -> DataFrame:
+    """Accesses with ``state``, what the map says of their block just before them: absent, dirty or clean.
+
+    Without write updates a write leaves its block dirty and the next read maps it; with them every access leaves it clean. No cache stands in front.
+    """
+    w = Window.partitionBy(*BLOCK).orderBy("seq")
+    before = F.lag("is_read").over(w)
+    clean = F.lit("clean")
+    return accesses.withColumn("__b", before).withColumn("state", F.when(F.col("__b").isNull(), "absent").when(F.col("__b") | F.lit(write_updates), clean).otherwise("dirty")).drop("__b")
+
+
+def members(probes: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Of probes (seq, vol, blk, content): with ``is_member``, whether the block was mapped to that content just before ``seq``.
+
+    A block has one mapping at a time, the last that began: no interval join is needed.
+    """
+    maps = intervals.select(*BLOCK, F.col("from_seq").alias("seq"), F.struct(F.col("content").alias("c"), F.col("to_seq").alias("end")).alias("m"), F.lit(None).cast("string").alias("content"))
+    rows = probes.select(*BLOCK, "seq", F.lit(None).cast(maps.schema["m"].dataType).alias("m"), "content").unionByName(maps)
+    w = Window.partitionBy(*BLOCK).orderBy("seq", F.col("m").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__l", F.last("m", ignorenulls=True).over(w)).where("m is null")
+    alive = F.col("__l.end").isNull() | (F.col("__l.end") >= F.col("seq"))
+    return rows.select("seq", *BLOCK, "content", F.coalesce((F.col("__l.c") == F.col("content")) & alive, F.lit(False)).alias("is_member"))
+
+
+def leader_content(led: DataFrame, disk: DataFrame) -> DataFrame:
+    """Reads with a leader (seq, content, lead_vol, lead_blk) and ``lead_content``, what the disk held at the leader then: a check for colliding hashes."""
+    asks = led.where("lead_blk is not null").select("seq", F.col("lead_vol").alias("vol"), F.col("lead_blk").alias("blk"), F.lit(None).cast("string").alias("c"), F.lit(True).alias("asks"))
+    rows = asks.unionByName(disk.select("seq", "vol", "blk", F.col("content").alias("c"), F.lit(False).alias("asks")))
+    w = Window.partitionBy(*BLOCK).orderBy("seq", "asks").rowsBetween(Window.unboundedPreceding, -1)
+    got = rows.withColumn("lead_content", F.last("c", ignorenulls=True).over(w)).where("asks").select("seq", "lead_content")
+    return led.join(got, "seq", "left")
+
+
+def neighbours(blocks: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Blocks (vol, blk, ...) with ``prev_`` and ``next_`` of columns from the blocks right before and after them; null where these are missing."""
+    w = Window.partitionBy("vol").orderBy("blk")
+    out = blocks
+    for c in columns:
+        out = out.withColumn(f"prev_{c}", F.when(F.lag("blk").over(w) == F.col("blk") - 1, F.lag(c).over(w)))
+        out = out.withColumn(f"next_{c}", F.when(F.lead("blk").over(w) == F.col("blk") + 1, F.lead(c).over(w)))
+    return out

@@ -97,3 +97,17 @@ def scan_layout(df: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     return df.withColumn("blk", (F.row_number().over(Window.partitionBy("vol").orderBy("seq")) - 1).cast("bigint")).withColumn("is_read", F.lit(True))
+
+
+def mark_last(df: DataFrame) -> DataFrame:
+    """A scan with ``is_last`` for the last block of each volume."""
+    from pyspark.sql import Window
+
+    return df.withColumn("is_last", F.lead("seq").over(Window.partitionBy("vol").orderBy("seq")).isNull())
+
+
+def inversions(df: DataFrame, stream: str = "vol", at: str = "at") -> DataFrame:
+    """Rows that come before the first time of their stream, or before the row in front of them: empty for a sound log."""
+    from pyspark.sql import Window
+
+    return df.where(F.col(at).isNotNull()).withColumn("__p", F.lag(at).over(Window.partitionBy(stream).orderBy("seq"))).where(F.col("__p") > F.col(at)).drop("__p")

@@ -379,3 +379,78 @@ def chunk_dedup(spark, sf_dir):
     p = with_chunks(table(spark, sf_dir, "pages").select("page_id", "html"), "html", ChunkRule.of_average(9))
     c = p.select(F.explode("chunks").alias("c")).groupBy("c.md5").agg(F.count("*").alias("n"), F.max("c.len").alias("len"))
     return c.agg(F.sum(F.col("n") * F.col("len")).alias("bytes"), F.sum("len").alias("unique_bytes"), F.sum("n").alias("chunks"), F.count("*").alias("unique_chunks"))
+
+
+@query(f"WITH {DISK} SELECT seq, vol, blk, CASE WHEN touch = 1 THEN 'absent' WHEN prev_read THEN 'clean' ELSE 'dirty' END AS state FROM d")
+def map_state_lookup(spark, sf_dir):
+    return M.mapped_state(log(spark, sf_dir)).select("seq", "vol", "blk", "state")
+
+
+@query(
+    f"WITH {INTERVALS} SELECT p.seq, p.vol, p.blk, p.content, EXISTS (SELECT 1 FROM m WHERE m.vol = p.vol AND m.blk = p.blk AND m.content = p.content AND m.from_seq < p.seq AND (m.to_seq IS NULL OR m.to_seq >= p.seq)) AS is_member "
+    "FROM (SELECT seq, vol, blk, trace_content AS content FROM d) p"
+)
+def mapping_membership(spark, sf_dir):
+    return M.members(log(spark, sf_dir).select("seq", "vol", "blk", "content"), M.map_intervals(consistent(spark, sf_dir)))
+
+
+@query(
+    f"WITH {INTERVALS}, l AS (SELECT d.seq, arg_max(m.blk, m.from_seq) AS lead_blk FROM d JOIN m ON d.content = m.content AND d.vol = m.vol AND m.from_seq < d.seq AND (m.to_seq IS NULL OR m.to_seq > d.seq) WHERE d.is_read AND d.touch > 1 GROUP BY d.seq) "
+    "SELECT d.seq, d.vol, d.blk, l.lead_blk FROM d LEFT JOIN l ON d.seq = l.seq WHERE d.is_read AND d.touch > 1"
+)
+def intra_volume_leaders(spark, sf_dir):
+    a = consistent(spark, sf_dir)
+    reads = M.mapped_state(a, True).where("is_read and state = 'clean'")
+    return M.leaders(reads, M.map_intervals(a), ("content", "vol")).select("seq", "vol", "blk", "lead_blk")
+
+
+@query(f"WITH {LEADERS} SELECT d.seq, d.content, d.content AS lead_content FROM d JOIN l ON d.seq = l.seq")
+def leader_content_check(spark, sf_dir):
+    a = consistent(spark, sf_dir)
+    reads = M.mapped_state(a, True).where("is_read and state = 'clean'")
+    led = M.leaders(reads, M.map_intervals(a)).where("lead_blk is not null")
+    return M.leader_content(led, a).select("seq", "content", "lead_content")
+
+
+@query(
+    f"WITH {LOG}, b AS (SELECT vol, blk, max(seq) AS seen FROM a WHERE blk % 5 <> 0 GROUP BY vol, blk), n AS (SELECT *, lag(blk) OVER w AS pb, lag(seen) OVER w AS ps, lead(blk) OVER w AS nb, lead(seen) OVER w AS ns FROM b WINDOW w AS (PARTITION BY vol ORDER BY blk)) "
+    "SELECT vol, blk, seen, CASE WHEN pb = blk - 1 THEN ps END AS prev_seen, CASE WHEN nb = blk + 1 THEN ns END AS next_seen FROM n"
+)
+def block_neighbours(spark, sf_dir):
+    b = log(spark, sf_dir).where("blk % 5 <> 0").groupBy("vol", "blk").agg(F.max("seq").alias("seen"))
+    return M.neighbours(b, ("seen",))
+
+
+@query(f"WITH {LOG} SELECT seq, vol, row_number() OVER (PARTITION BY vol ORDER BY seq) - 1 AS blk, lead(seq) OVER (PARTITION BY vol ORDER BY seq) IS NULL AS is_last FROM a")
+def scan_last_block(spark, sf_dir):
+    return R.mark_last(R.scan_layout(log(spark, sf_dir))).select("seq", "vol", "blk", "is_last")
+
+
+@query(
+    f"WITH {LOG}, s AS (SELECT event_id, CAST(user_id % {VOLUMES} AS INTEGER) AS vol, CAST(floor(value * 100) AS BIGINT) AS tick FROM events), n AS (SELECT *, lag(tick) OVER (PARTITION BY vol ORDER BY event_id) AS p FROM s WHERE tick IS NOT NULL) "
+    "SELECT event_id AS seq, vol, tick AS \"at\" FROM n WHERE p > tick"
+)
+def time_inversions(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return R.inversions(e.select(F.col("event_id").alias("seq"), (F.col("user_id") % VOLUMES).cast("int").alias("vol"), F.floor(F.col("value") * 100).cast("bigint").alias("at")))
+
+
+TWICE = ", w AS (SELECT seq, vol, blk, is_read FROM a UNION ALL SELECT seq + (SELECT max(seq) + 1 FROM a), vol, blk, is_read FROM a)"
+
+
+@query(
+    f"WITH {LOG}{TWICE}, {distances_sql('w', 'vol, blk')} SELECT count(*) FILTER (WHERE is_read) AS reads, count(*) FILTER (WHERE is_read AND coalesce(distance < 64, false)) AS hits "
+    "FROM u WHERE seq > (SELECT max(seq) FROM a)"
+)
+def second_iteration(spark, sf_dir):
+    """The log twice in a row: reads and hits of the second time, in a cache of 64 blocks."""
+    a = log(spark, sf_dir).select("seq", "vol", "blk", "is_read")
+    n = a.count()
+    hits = U.lru_hits(U.reuse_distances(R.repeated(a, 2)), 64).where(F.col("seq") >= n)
+    return hits.agg(F.count_if("is_read").alias("reads"), F.count_if(F.col("is_read") & F.col("hit")).alias("hits"))
+
+
+@query()
+def chunk_mode_counters(spark, sf_dir):
+    o = simulate(consistent(spark, sf_dir), [CacheConfig("chunk", n) for n in CAPACITIES])
+    return C.counters(o, ("config", "mode"))
