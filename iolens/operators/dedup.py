@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import running_sum
+
 
 def content_hash(content: Column) -> Column:
     """MD5 in hex of a block's bytes (of text: of its UTF-8)."""
@@ -28,8 +30,7 @@ def live_factor(intervals: DataFrame) -> DataFrame:
     ends = intervals.where("to_seq is not null").select("content", F.col("to_seq").alias("seq"), F.lit(-1).alias("d"))
     starts = intervals.select("content", F.col("from_seq").alias("seq"), F.lit(1).alias("d"))
     # at equal places the overwritten mapping goes first
-    w = Window.partitionBy("content").orderBy("seq", "d").rowsBetween(Window.unboundedPreceding, 0)
-    live = starts.union(ends).withColumn("factor", F.sum("d").over(w)).where("d = 1").select("content", F.col("seq").alias("from_seq"), "factor")
+    live = running_sum(starts.union(ends), ("content",), {"factor": F.col("d")}, ("seq", "d")).where("d = 1").select("content", F.col("seq").alias("from_seq"), "factor")
     return intervals.join(live, ["content", "from_seq"])
 
 
@@ -41,19 +42,11 @@ def factor_histogram(factors: DataFrame, top: int = 9) -> DataFrame:
 def live_items(changes: DataFrame) -> DataFrame:
     """Of rows (seq, content, d = 1 inserted or -1 deleted): each with ``total`` and ``uniques`` then live.
 
-    Uniques change when a content's own count leaves or reaches 0, which a window by content finds. Running sums over the whole log are taken
-    in ranges of places, each offset by the sums before it.
+    Uniques change when a content's own count leaves or reaches 0. Both counts are running sums in stretches, offset by the sums before them.
     """
-    own = Window.partitionBy("content").orderBy("seq", "d").rowsBetween(Window.unboundedPreceding, 0)
-    rows = changes.withColumn("__n", F.sum("d").over(own))
-    rows = rows.withColumn("__u", F.when((F.col("__n") == 1) & (F.col("d") == 1), 1).when((F.col("__n") == 0) & (F.col("d") == -1), -1).otherwise(0))
-    rows = rows.withColumn("__r", F.floor(F.col("seq") / (1 << 20)))
-    sums = rows.groupBy("__r").agg(F.sum("d").alias("__bd"), F.sum("__u").alias("__bu"))
-    before = Window.partitionBy(F.lit(0)).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # a row a million places
-    sums = sums.select("__r", F.coalesce(F.sum("__bd").over(before), F.lit(0)).alias("__bd"), F.coalesce(F.sum("__bu").over(before), F.lit(0)).alias("__bu"))
-    here = Window.partitionBy("__r").orderBy("seq", "d").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(sums, "__r").withColumns({"total": F.col("__bd") + F.sum("d").over(here), "uniques": F.col("__bu") + F.sum("__u").over(here)})
-    return out.drop("__r", "__n", "__u", "__bd", "__bu")
+    rows = running_sum(changes, ("content",), {"__n": F.col("d")}, ("seq", "d"))
+    new = F.when((F.col("__n") == 1) & (F.col("d") == 1), 1).when((F.col("__n") == 0) & (F.col("d") == -1), -1).otherwise(0)
+    return running_sum(rows, (), {"total": F.col("d"), "uniques": new}, ("seq", "d")).drop("__n")
 
 
 def cross_and_own_duplicates(accesses: DataFrame) -> DataFrame:

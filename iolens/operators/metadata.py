@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import last_before
 from .sequence import kept
 
 BLOCK = ("vol", "blk")
@@ -54,16 +55,14 @@ def map_intervals(accesses: DataFrame, write_updates: bool = True) -> DataFrame:
 def leaders(reads: DataFrame, intervals: DataFrame, within: tuple[str, ...] = ("content",)) -> DataFrame:
     """Reads with the leader of their content: the block that was mapped to it last and still is (lead_vol, lead_blk, lead_seq; null if none).
 
-    ``within`` = ("content", "vol") looks at the own volume only. Most reads follow a mapping that still holds, which one window over the events of a content
-    finds; only the others meet all earlier mappings of their content in an interval join.
+    ``within`` = ("content", "vol") looks at the own volume only. Most reads follow a mapping that still holds, which windows over stretches of a content's
+    events find, however often it occurs; only the others meet all earlier mappings of their content in an interval join.
     """
     keys = list(within)
     maps = intervals.select(*keys, *(c for c in BLOCK if c not in keys), "from_seq", "to_seq")
     maps = maps.select(*keys, F.struct(F.col("from_seq").alias("seq"), F.col("vol").alias("vol"), F.col("blk").alias("blk"), F.col("to_seq").alias("end")).alias("m"))
     events = reads.select(*keys, "seq", F.lit(None).cast(maps.schema["m"].dataType).alias("m")).unionByName(maps.select(*keys, F.col("m.seq").alias("seq"), "m"))
-    # a read that maps its block comes before its own mapping
-    w = Window.partitionBy(*keys).orderBy("seq", F.col("m").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
-    last = events.withColumn("l", F.last("m", ignorenulls=True).over(w)).where("m is null").select("seq", *keys, "l")
+    last = last_before(events, tuple(keys), F.col("m"), name="l").where("m is null").select("seq", *keys, "l")
     alive = F.col("l").isNull() | F.col("l.end").isNull() | (F.col("l.end") > F.col("seq"))
     late = last.where(~alive).select("seq", *keys)
     older = maps.join(late, keys).where("m.seq < seq and (m.end is null or m.end > seq)").groupBy("seq").agg(F.max("m").alias("o"))

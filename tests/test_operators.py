@@ -117,3 +117,20 @@ def test_reports(spark):
     from iolens.operators.counters import counters
 
     assert reports.report(counters(out, ("config", "mode"))).where("counter = 'reads'").count() == 2
+
+
+def test_stretches(spark):
+    from iolens.operators.running import last_before, running_sum
+
+    rng = random.Random(6)
+    rows = [(rng.randrange(300), rng.choice("aaab"), rng.choice([None, 1, 2, 3])) for _ in range(250)]
+    df = spark.createDataFrame(rows, "seq long, k string, v int").dropDuplicates(["seq", "k"])
+    rows = [tuple(r) for r in df.collect()]
+    for span in (1 << 18, 16):
+        for r in last_before(df, ("k",), F.col("v"), span=span).collect():
+            past = [x for x in rows if x[1] == r.k and x[0] < r.seq and x[2] is not None]
+            assert r["last"] == (max(past)[2] if past else None)
+        for r in running_sum(df, ("k",), {"s": F.coalesce("v", F.lit(0))}, span=span).collect():
+            assert r.s == sum(x[2] or 0 for x in rows if x[1] == r.k and x[0] <= r.seq)
+        for r in running_sum(df, (), {"s": F.coalesce("v", F.lit(0))}, ("seq", "k"), span=span).collect():
+            assert r.s == sum(x[2] or 0 for x in rows if x[:2] <= (r.seq, r.k))
