@@ -265,7 +265,8 @@ def simulate(accesses: DataFrame, configs: list[CacheConfig], partitions: int |
                 at = end
             yield pa.RecordBatch.from_arrays([pa.array([o.get(f.name) for o in out], f.type) for f in arrow], schema=arrow)
 
-    spread = rows.repartition(partitions or max(1, len(configs)), "config").sortWithinPartitions("config", "seq")
+    n = partitions or max(1, len(configs))
+    spread = rows.repartitionById(n, F.col("config") % n).sortWithinPartitions("config", "seq")
     return spread.mapInArrow(run, OUTCOME_DDL)
 
 
