@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
@@ -18,15 +18,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
     """
     e = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a is not null and b is not null and a < b").distinct()
     e = saved(e, name)
-    before = None
+    before, old = None, []
     while True:
+        old.append(e)
         both = e.union(e.select(F.col("b"), F.col("a"))).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        # minima are tables of their own: both sides of each join are then shuffled for it alone, and its hot partitions can be split
+        low = saved(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), name)
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = saved(large.distinct(), name)
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m")), name)
+        small = large.join(least, "u")
         small = small.select(F.col("v").alias("b"), F.col("m").alias("a")).union(small.select("u", "m"))
         e = saved(small.toDF("b", "a").where("a <> b").select("a", "b").distinct(), name)
+        for x in (*old, low, large, least):
+            discard(x)
+        old.clear()
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
