@@ -10,10 +10,12 @@ Steps, each of them a shuffle on keys with pre-aggregation:
 1. A map computes set size, a 128-bit class of the set and the collections. Equal sets form a class and go on as one row.
 2. Collection values that occur once can be part of no common table; only the others are paired into table keys.
 3. In each table a row is tied to the smallest id under its key, never to every other. The ties' components are *families*.
-4. Links inside a family are confirmed on full sets, read anew from the texts. Families are cut into blocks of bounded size and every two
-   blocks meet in a group of their own, so no task holds more than two blocks. Within a group rarest-first prefixes find
+4. Links are confirmed on full sets, read anew from the texts. First each row meets the one row it shares most tables with, in streams of bounded
+   length: that joins most of a group of near copies, however large, by one comparison a row. What can still be missing are links between the parts
+   of a family, so only rows outside its largest part go on to meet the others: both are cut into blocks of bounded size, every block of the former
+   meets every block in a group of its own, and no task holds more than two blocks. Within a group rarest-first prefixes find
    every pair that can reach the threshold, their intersections are counted in full, and only links that join two so far separate
-   parts leave the task. No pair is listed and none is dropped, however large the family.
+   parts leave the task. No pair is listed and none is dropped.
 5. The components of the links, brought back to all rows over their class.
 """
 
@@ -122,8 +124,12 @@ class Links:
     def __init__(self, link_num: int = LINK_NUM):
         self.num = link_num
 
-    def forest(self, sets: list[np.ndarray], side: list[int] | None = None) -> list[tuple[int, int]]:
-        """Links (i, j) that join all linked sets; with ``side`` only links between unequal sides count."""
+    def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
+        common = len(a) + len(b) - len(np.union1d(a, b)) if 100 * min(len(a), len(b)) >= self.num * max(len(a), len(b)) else 0
+        return 100 * common >= self.num * (len(a) + len(b) - common)
+
+    def forest(self, sets: list[np.ndarray], side: list[int] | None = None, part: list[int] | None = None) -> list[tuple[int, int]]:
+        """Links (i, j) that join all linked sets; with ``side`` only links between unequal sides count, sets of one ``part`` are joined already."""
         n = len(sets)
         size = np.fromiter(map(len, sets), np.int64, n)
         order = np.argsort(size, kind="stable")
@@ -157,6 +163,9 @@ class Links:
                 x = parent[x]
             return x
 
+        first_of: dict[int, int] = {}
+        for i, x in enumerate(part or ()):
+            parent[i] = first_of.setdefault(x, i)
         mark = np.zeros(len(df), bool)
         out = []
         for i in order.tolist():
@@ -185,33 +194,61 @@ class Links:
         return out
 
 
-def _confirm(rows: DataFrame, n_words: int, link_num: int) -> DataFrame:
-    """``rows`` (family, x, y, id, block, text), dealt out and sorted by (family, x, y) -> links (a, b)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _edges(got: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in got], pa.int64()) for k in (0, 1)], schema=_EDGES)
+
+
+def _confirm_stars(rows: DataFrame, n_words: int, link_num: int) -> DataFrame:
+    """``rows`` (center, salt, arm, id, text), a center (arm 0) followed by the rows to compare with it -> links (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, links = _Words(), Links(link_num)
+        now, centers = None, []
+        for b in batches:
+            got = []
+            for center, salt, arm, i, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (center, salt) != now:
+                    now, centers = (center, salt), []
+                s = shingles(text, words, n_words)
+                if not arm:
+                    centers.append(s)
+                elif any(len(s) and len(c) and links.linked(c, s) for c in centers):
+                    got.append((center, i))
+            yield _edges(got)
+
+    return rows.select("center", "salt", "arm", "id", "text").mapInArrow(run, "a bigint, b bigint")
+
+
+def _confirm_blocks(rows: DataFrame, n_words: int, link_num: int) -> DataFrame:
+    """``rows`` (family, x, y, id, block, part, text), dealt out and sorted by (family, x, y) -> links (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, links = _Words(), Links(link_num)
-        now, ids, sets, blocks = None, [], [], []
+        now, ids, sets, blocks, parts = None, [], [], [], []
 
         def close() -> pa.RecordBatch:
-            got = links.forest(sets, None if now[1] == now[2] else blocks) if len(ids) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([ids[p[k]] for p in got], pa.int64()) for k in (0, 1)], schema=schema)
+            got = links.forest(sets, None if now[1] == now[2] else blocks, parts) if len(set(parts)) > 1 else []
+            return _edges([(ids[i], ids[j]) for i, j in got])
 
         for b in batches:
-            for fam, x, y, i, block, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for fam, x, y, i, block, part, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (fam, x, y) != now:
                     if now:
                         yield close()
-                    now, ids, sets, blocks = (fam, x, y), [], [], []
+                    now, ids, sets, blocks, parts = (fam, x, y), [], [], [], []
                 s = shingles(text, words, n_words)
                 if len(s):
                     ids.append(i)
                     sets.append(s)
                     blocks.append(block)
+                    parts.append(part)
         if now:
             yield close()
 
-    return rows.select("family", "x", "y", "id", "block", "text").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("family", "x", "y", "id", "block", "part", "text").mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(
@@ -245,19 +282,33 @@ def near_duplicates(
     )
     keys = mine.select("rep", F.explode(pairs).alias("k"))
     center = keys.groupBy("k").agg(F.min("rep").alias("center"), F.max("rep").alias("far")).where("center < far").select("k", "center")
-    ties = keys.join(center, "k").where("rep > center").select(F.col("rep").alias("b"), F.col("center").alias("a"))
-    family = connected_components(ties, name="families")
+    # of the rows it could be compared with, the one that it shares most tables with
+    ties = keys.join(center, "k").where("rep > center").groupBy("rep", "center").agg(F.count("*").alias("n"))
+    ties = saved(ties, "ties")
+    family = connected_components(ties, "rep", "center", name="families")
+    stars = ties.groupBy("rep").agg(F.max_by("center", F.struct("n", -F.col("center"))).alias("center"))
+    salts = stars.groupBy("center").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("salts"))
+    texts = df.where("id is not null")
+    arms = stars.join(salts, "center").select("center", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("arm"), F.col("rep").alias("id"))
+    heads = salts.select("center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("arm"), F.col("center").alias("id"))
+    met = arms.union(heads).join(texts, "id")
+    near = saved(_confirm_stars(met.repartition("center", "salt").sortWithinPartitions("center", "salt", "arm"), n_words, link_num), "near")
+    joined = connected_components(near, name="parts").select(F.col("node").alias("rep"), F.col("component").alias("part"))
     sized = classes.groupBy("rep").agg(F.sum("n_shingles").alias("n")).join(family, F.col("rep") == F.col("node")).select("rep", "n", F.col("component").alias("family"))
-    blocks = (
-        sized.groupBy("family")
-        .agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-        .select("family", F.greatest(F.ceil(F.col("sets") / block_sets), F.ceil(F.col("shingles") / block_shingles)).cast("int").alias("blocks"))
-    )
-    members = sized.join(blocks, "family").select("rep", "family", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-    texts = members.join(df.where("id is not null").withColumnRenamed("id", "rep"), "rep")
-    met = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), F.col("rep").alias("id"), "block", "text")
-    links = _confirm(met.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y"), n_words, link_num)
+    sized = saved(sized.join(joined, "rep", "left").withColumn("part", F.coalesce("part", "rep")), "members")
+    # the largest part of each family only meets the rows of the others
+    parts = sized.groupBy("family", "part").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    main = parts.groupBy("family").agg(F.max_by("part", F.struct("sets", -F.col("part"))).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    need = lambda c: F.greatest(F.ceil(F.sum(F.when(c, F.col("sets"))) / block_sets), F.ceil(F.sum(F.when(c, F.col("shingles"))) / block_shingles)).cast("int")
+    is_main = F.col("part") == F.col("main")
+    blocks = parts.join(main, "family").groupBy("family", "main").agg(need(~is_main).alias("others"), need(is_main).alias("mains"))
+    members = sized.join(blocks, "family").withColumn("is_main", is_main)
+    # blocks of the others are numbered first
+    block = F.when(F.col("is_main"), F.col("others") + F.pmod(F.xxhash64("rep"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("others"))).cast("int")
+    members = members.withColumn("block", block).withColumn("last", F.when(F.col("is_main"), F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)
+    met = members.select(F.col("rep").alias("id"), "family", "part", "block", "last").join(texts, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    met = met.select("family", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "block", "part", "text")
+    links = _confirm_blocks(met.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y"), n_words, link_num).union(near)
     # rows of one id tie the classes of their texts together
     same = docs.where("cls is not null and id is not null").join(classes.select("cls", "rep"), "cls").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     repeated = same.join(docs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
