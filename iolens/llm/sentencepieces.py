@@ -31,7 +31,7 @@ from .common import map_rows
 
 MARK = "▁"
 #: Units kept by a worker; the table starts anew beyond that.
-KEPT = 400_000
+KEPT = 1_000_000
 #: Pairs of pieces kept.
 KEPT_PAIRS = 1_000_000
 NEVER = float("inf")
@@ -151,7 +151,9 @@ class PieceEncoder:
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
         self.units = Units(self)
-        self.texts = Decoded(self)
+        # texts of pieces from here on need no bytes joined
+        self.first_plain = max([*self.byte_ids, *self.control, self.unk]) + 1
+        self.plain = [x.decode() if i >= self.first_plain else "" for i, x in enumerate(self.surface)]
 
     # -- one unit ---------------------------------------------------------
 
@@ -290,7 +292,7 @@ class PieceEncoder:
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
-        for joined in map(self.units.__getitem__, self.unit_keys(text or "")):
+        for joined, _ in map(self.units.__getitem__, self.unit_keys(text or "")):
             out.extend(map(int, joined.split(",")))
         return out
 
@@ -342,38 +344,26 @@ def _bytes_text(b: bytes) -> bytes:
 
 
 class Units(dict):
-    """Unit key -> its ids in decimal, joined by commas."""
+    """Unit key -> (its ids in decimal, joined by commas; the text that these ids decode to, with the space in front)."""
 
     def __init__(self, encoder: PieceEncoder):
         super().__init__()
         self.encoder = encoder
 
-    def __missing__(self, key: str) -> str:
-        ids = ",".join(map(str, self.encoder.unit_ids(self.encoder.key_unit(key))))
-        if len(key) <= LONGEST_KEPT:
-            if len(self) >= KEPT:
-                self.clear()
-            self[key] = ids
-        return ids
-
-
-class Decoded(dict):
-    """Ids of a unit in decimal -> its text, with the space in front."""
-
-    def __init__(self, encoder: PieceEncoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, key: str) -> str:
+    def __missing__(self, key: str) -> tuple[str, str]:
         e = self.encoder
-        ids = list(map(int, key.split(",")))
-        # a control piece in front keeps nothing from the start of a text
-        text = (" " if e.prefix and e.surface[ids[0]][:1] == b" " else "") + e.decode(ids)
-        if len(key) <= 4 * LONGEST_KEPT:
+        ids = e.unit_ids(e.key_unit(key))
+        if max(ids) >= e.first_plain and min(ids) >= e.first_plain:
+            text = "".join([e.plain[i] for i in ids])
+        else:
+            # the space that decoding takes from the start of a text belongs to this unit here
+            text = (" " if e.prefix and e.surface[ids[0]][:1] == b" " else "") + e.decode(ids)
+        got = ",".join(map(str, ids)), text
+        if len(key) <= LONGEST_KEPT:
             if len(self) >= KEPT:
                 self.clear()
-            self[key] = text
-        return text
+            self[key] = got
+        return got
 
 
 @lru_cache(maxsize=4)
@@ -409,7 +399,7 @@ def encode_texts(
             cols: dict[str, list] = {k: [] for k in outputs}
             for text in texts:
                 units = list(map(e.units.__getitem__, e.unit_keys(text or "")))
-                joined = ",".join(units)
+                joined = ",".join([u[0] for u in units])
                 if "n_tokens" in cols:
                     cols["n_tokens"].append(joined.count(",") + 1 if joined else 0)
                 if "ids" in cols:
@@ -417,7 +407,7 @@ def encode_texts(
                 if "ids_sha256" in cols:
                     cols["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
                 if need_text:
-                    back = "".join(map(e.texts.__getitem__, units))
+                    back = "".join([u[1] for u in units])
                     if e.prefix and back[:1] == " ":
                         back = back[1:]
                     if "decoded" in cols:
