@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .sequence import kept
 
-#: Places of a column of the grid.
-CELL = 1 << 18
+#: Places of a column of the grid, at least, and columns at most.
+CELL, COLUMNS = 1 << 18, 1 << 14
 
 
 def previous(accesses: DataFrame, key: tuple[str, ...]) -> DataFrame:
@@ -84,23 +84,27 @@ def _grouped(rows: DataFrame, group: str) -> DataFrame:
     return rows.mapInArrow(run, "seq bigint, n bigint")
 
 
+def _whole_cells(grid: DataFrame, columns: int, cell: int) -> DataFrame:
+    """(col, row, n): points in all cells of smaller columns and rows, by sums along columns and then along rows of the grid.
+
+    A previous place is smaller than its own, so the grid is a triangle: rows do not exceed their column, and columns before a row lie below it in full.
+    """
+    cells = grid.sparkSession.range(columns).select(F.col("id").alias("col"), F.explode(F.sequence(F.lit(-1).cast("bigint"), F.col("id"))).alias("row"))
+    cells = cells.join(grid, ["col", "row"], "left")
+    low = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    left = Window.partitionBy("row").orderBy("col").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("n", F.coalesce(F.sum("n").over(low), F.lit(0)))
+    full = F.greatest(F.col("row"), F.lit(0)) * cell
+    return cells.withColumn("n", F.coalesce(F.sum("n").over(left), F.lit(0)) + full).select("col", "row", "n")
+
+
 def reuse_distances(accesses: DataFrame, key: tuple[str, ...] = ("vol", "blk"), cell: int = CELL) -> DataFrame:
     """Accesses (``seq`` dense from 0) with ``distance``; null for the first access of a key."""
     rows = kept(previous(accesses, key))
+    length = (rows.agg(F.max("seq")).first()[0] or 0) + 1
+    cell = max(cell, -(-length // COLUMNS))
     points = rows.select("seq", F.coalesce("prev_seq", F.lit(-1)).cast("bigint").alias("prev")).withColumn("col", F.floor(F.col("seq") / cell)).withColumn("row", F.floor(F.col("prev") / cell))
-    grid = points.groupBy("col", "row").agg(F.count("*").alias("n")).collect()  # (length / cell) squared numbers at most
-    before: dict[tuple[int, int], int] = {}
-    cols, rws = sorted({g["col"] for g in grid}), sorted({g["row"] for g in grid})
-    have = {(g["col"], g["row"]): g["n"] for g in grid}
-    last = {r: 0 for r in rws}
-    for c in cols:  # whole cells left of column c and below row r
-        low = 0
-        for r in rws:
-            before[c, r] = low
-            low += last[r]
-        for r in rws:
-            last[r] += have.get((c, r), 0)
-    table = F.create_map(*[x for (c, r), n in before.items() for x in (F.lit(c * 1_000_003 + r), F.lit(n))]) if before else F.lit(None)
+    before = _whole_cells(points.groupBy("col", "row").agg(F.count("*").alias("n")), -(-length // cell), cell)
     asks = points.where("prev >= 0")
     lit = lambda v: F.lit(v).cast("int")
     in_col = points.select(F.col("col").alias("g"), F.col("seq").alias("x"), F.col("prev").alias("y"), lit(0).alias("asks"), "seq")
@@ -109,7 +113,7 @@ def reuse_distances(accesses: DataFrame, key: tuple[str, ...] = ("vol", "blk"),
     in_row = points.select(F.col("row").alias("g"), F.col("col").alias("x"), F.col("prev").alias("y"), lit(0).alias("asks"), "seq").where("y >= 0")
     in_row = in_row.union(asks.select("row", "col", "prev", lit(1), "seq"))
     counts = _grouped(in_col, "g").union(_grouped(in_row, "g"))
-    whole = asks.select("seq", (table[F.col("col") * 1_000_003 + F.col("row")] if before else F.lit(0)).cast("bigint").alias("n"))
+    whole = asks.join(before, ["col", "row"]).select("seq", "n")
     # first touches of earlier columns lie below every row
     total = counts.union(whole).groupBy("seq").agg(F.sum("n").alias("n"))
     return rows.join(total, "seq", "left").withColumn("distance", F.col("n") - F.col("prev_seq") - 1).drop("n")

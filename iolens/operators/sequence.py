@@ -30,7 +30,7 @@ def with_seq(df: DataFrame, first: Column, *ties: Column, name: str = "seq", row
     if parts == 1:
         return df.withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).cast("bigint"))
     cuts = df.select(F.percentile_approx(first, [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))
+    cuts = sorted(set(cuts)) or [0]  # no cut where all are null
     bucket = F.coalesce(F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda a, c: a + F.when(c < first, 1).otherwise(0)), F.lit(0))
     df = df.withColumn("__range", bucket)
     counts = {r["__range"]: r["count"] for r in df.groupBy("__range").count().collect()}  # a number a range
