@@ -286,9 +286,10 @@ def near_duplicates(
     ties = keys.join(center, "k").where("rep > center").groupBy("rep", "center").agg(F.count("*").alias("n"))
     ties = saved(ties, "ties")
     family = connected_components(ties, "rep", "center", name="families")
-    stars = ties.groupBy("rep").agg(F.max_by("center", F.struct("n", -F.col("center"))).alias("center"))
+    stars = saved(ties.groupBy("rep").agg(F.max_by("center", F.struct("n", -F.col("center"))).alias("center")), "stars")
     salts = stars.groupBy("center").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("salts"))
-    texts = df.where("id is not null")
+    # the texts of all that could be linked, once: every later step reads this table
+    texts = saved(df.where("id is not null").join(stars.select("rep").union(salts.select("center")).distinct().withColumnRenamed("rep", "id"), "id"), "texts")
     arms = stars.join(salts, "center").select("center", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("arm"), F.col("rep").alias("id"))
     heads = salts.select("center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("arm"), F.col("center").alias("id"))
     met = arms.union(heads).join(texts, "id")
