@@ -147,7 +147,8 @@ def fit_rates(cells: DataFrame, domains: list[str], weights: dict[str, float], t
     """Rates for ``cells`` (p, n): targets are the weights' shares of ``total`` tokens.
 
     ``total`` defaults to all tokens there are or, with ``anchor``, to as many as use that domain's tokens once. Weights of domains
-    that no document can belong to have no effect; domains without a weight are to have no token. Targets that only a few nearly pure documents
+    that no document can belong to have no effect; domains without a weight are to have no token, but where no domain has one all rates
+    stay one. Targets that only a few nearly pure documents
     can meet are approached within ``rounds`` steps, not always reached.
     """
     d = len(domains)
@@ -158,7 +159,9 @@ def fit_rates(cells: DataFrame, domains: list[str], weights: dict[str, float], t
         now[i] = first[f"e{i}"] or 0.0
         for j in range(i + 1):
             gram[i][j] = gram[j][i] = first[f"g{i}_{j}"] or 0.0
-    have = sum(weights.get(x, 0.0) for x in domains) or 1.0
+    have = sum(weights.get(x, 0.0) for x in domains)
+    if not have:
+        return Mix(domains, list(now), now, [])
     share = [weights.get(x, 0.0) / have for x in domains]
     whole = total if total is not None else float(first["n"] or 0)
     if anchor in domains and total is None and share[domains.index(anchor)]:
