@@ -234,7 +234,7 @@ class TraceWriter(DataSourceWriter):
         for m in messages:
             if m is not None:
                 folder, _, name = m.file.rpartition("/")
-                fs.move(m.file, f"{folder}/{name[1:]}.pioevents")
+                fs.move(m.file, f"{folder}/{name[1:]}.trace")
 
     def abort(self, messages):
         fs, _ = self._fs()

@@ -51,9 +51,9 @@ def test_damage_and_continuation():
 def test_trace_files(spark, tmp_path):
     T.register(spark)
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.pioevents").write_bytes(encoded(ROWS))
-    (tmp_path / "in" / "b.pioevents").write_bytes(encoded(ROWS[:2], ">", True))
-    (tmp_path / "in" / "c.pioevents").write_bytes(b"")
+    (tmp_path / "in" / "a.trace").write_bytes(encoded(ROWS))
+    (tmp_path / "in" / "b.trace").write_bytes(encoded(ROWS[:2], ">", True))
+    (tmp_path / "in" / "c.trace").write_bytes(b"")
     df = spark.read.format("io_trace").load(str(tmp_path / "in"))
     assert df.count() == 7 and df.select("seq").distinct().count() == 7
     req = R.requests_of(df).orderBy("seq").collect()
