@@ -321,6 +321,12 @@ def stitched_texts(spark, sf_dir):
     return P.stitched(b, pad=F.lit("")).select("seq", F.md5("content").alias("content"))
 
 
+@query("SELECT doc_id AS seq, md5(text) AS content FROM documents WHERE text IS NOT NULL AND text <> ''")
+def stitched_all_texts(spark, sf_dir):
+    """Every document with text, however long; stitched_texts and its twin stop at 4096 characters."""
+    return P.stitched(doc_blocks(spark, sf_dir), pad=F.lit("")).select("seq", F.md5("content").alias("content"))
+
+
 BUNCH_NS = 10_000_000_000
 
 

@@ -1,5 +1,7 @@
 """Every registered query against its SQL twin, on the smallest tables."""
 
+import hashlib
+
 import duckdb
 import pytest
 
@@ -32,6 +34,14 @@ def test_query(spark, duck, name):
     assert got == sorted(str(tuple(x[names.index(c)] for c in cols)) for x in r.fetchall())
 
 
+def test_long_texts_are_stitched(spark):
+    """Documents of more than 4096 characters are in the result, with their own digest."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert sum(len(t or "") > 4096 for t in docs.values()) > 20
+    got = {r.seq: r.content for r in QUERIES["stitched_all_texts"](spark, SF).collect()}
+    assert got == {i: hashlib.md5(t.encode()).hexdigest() for i, t in docs.items() if t}
+
+
 def test_registry():
     import __spark_entry__ as e
 
