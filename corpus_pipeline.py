@@ -17,14 +17,17 @@ from iolens.llm.queries import held_out
 from iolens.llm.sentencepieces import encode_texts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Texts of which no language has this share are rejected; clean texts, foreign passages included, lie far above.
-LEAST_SCORE = 0.2
+#: Rejected are texts with less than this share of letters in scripts of the learned languages,
+LEAST_KNOWN = 0.5
+#: and those whose letters are on average by so much (natural logarithm) less likely than letters of training rows.
+#: No document of sf0.1 and check_s is below -9.1; letters drawn at random are at -19 and less.
+LEAST_FIT = -12.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language. Rejected are null texts, texts without a letter and texts that no language fits; ``lang`` becomes the prediction."""
-    got = identify(docs, fit(docs.where(~held_out())), {c: F.col(c) for c in COLUMNS})
-    kept = got.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    got = identify(docs, fit(docs.where(~held_out())), {c: F.col(c) for c in COLUMNS}, with_fit=True)
+    kept = got.where((F.col("lang_pred") != UNKNOWN) & (F.col("known") >= LEAST_KNOWN) & (F.col("fit") >= LEAST_FIT))
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

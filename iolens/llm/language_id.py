@@ -104,18 +104,24 @@ class Model:
     weights: np.ndarray  # bucket x language
     allowed: np.ndarray  # script x language
     switch: float = SWITCH
+    usual: np.ndarray | None = None  # log likelihood of a letter in the training rows of each language
 
-    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(scores by language, letters) of words."""
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores by language, letters, fit) of words.
+
+        The fit is the log likelihood above what as many letters usually have, in the language where it is highest of those that use the word's script; nan if none does.
+        """
         g, first, n, script = grams(words)
         w = np.vstack([self.weights, np.zeros(len(self.languages))])
         s = np.add.reduceat(w[g[:, 0]] + w[g[:, 1]] + w[g[:, 2]], first, axis=0)
         s[n == 0] = 0
         mask = self.allowed[np.maximum(script, 0)] & (n > 0)[:, None]
         some = mask.any(1)
+        usual = np.zeros(len(self.languages)) if self.usual is None else self.usual
+        fits = np.where(some, np.where(mask, s - usual * n[:, None], -np.inf).max(1), np.nan)
         s[some] = np.where(mask[some], s[some] - np.where(mask[some], s[some], -np.inf).max(1, keepdims=True), OUT)
         s[~some] = 0
-        return np.maximum(s, OUT), n
+        return np.maximum(s, OUT), n, fits
 
 
 class Labeller:
@@ -126,16 +132,17 @@ class Labeller:
         self.place: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.languages)))
         self.letters = np.zeros(0, np.int64)
+        self.fit = np.zeros(0)
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.place]
         if len(self.place) + len(new) > KEPT:
             self.place.clear()
-            self.scores, self.letters, new = self.scores[:0], self.letters[:0], list(words)
+            self.scores, self.letters, self.fit, new = self.scores[:0], self.letters[:0], self.fit[:0], list(words)
         if new:
-            s, n = self.m.score(new)
+            s, n, fits = self.m.score(new)
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.scores, self.letters = np.vstack([self.scores, s]), np.concatenate([self.letters, n])
+            self.scores, self.letters, self.fit = np.vstack([self.scores, s]), np.concatenate([self.letters, n]), np.concatenate([self.fit, fits])
 
     def paths(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text: languages' numbers by word, letters by word, summed scores by language."""
@@ -211,6 +218,20 @@ class Labeller:
             out.append((self.m.languages[best], float(min(1.0, share[best] / n * p))))
         return out
 
+    def fits(self, text_words: list[list[str]]) -> list[tuple[float, float | None]]:
+        """Share of the letters that are in words whose script some language uses, and the mean fit of these letters (None without any)."""
+        if not self.m.languages:
+            return [(0.0, None)] * len(text_words)
+        self.learn({w for ws in text_words for w in ws})
+        out = []
+        for ws in text_words:
+            i = np.fromiter(map(self.place.__getitem__, ws), np.int64, len(ws))
+            letters, fit = self.letters[i], self.fit[i]
+            on = ~np.isnan(fit)
+            known = int(letters[on].sum())
+            out.append((known / int(letters.sum()), float(fit[on].sum() / known)) if known else (0.0, None))
+        return out
+
 
 def spans(path: np.ndarray, letters: np.ndarray, languages: list[str]) -> list[dict]:
     """Runs of words with one language: first word, number of words, language, letters."""
@@ -260,12 +281,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     if languages:
         counts[sums["bucket"].to_numpy(), [number[x] for x in sums["lang"].to_pylist()]] = sums["n"].to_numpy()
     seen, script = counts[:BUCKETS] + SMOOTHING, counts[BUCKETS:]
-    return Model(languages, np.log(seen / seen.sum(0)), script >= SCRIPT_SHARE * np.maximum(script.sum(0), 1), switch)
+    weights, letters = np.log(seen / seen.sum(0)), np.maximum(script.sum(0), 1)
+    return Model(languages, weights, script >= SCRIPT_SHARE * letters, switch, (counts[:BUCKETS] * weights).sum(0) / letters)
 
 
-def identify(df: DataFrame, model: Model, keep: dict[str, Column] | None = None, text_col: str = "text", with_spans: bool = False) -> DataFrame:
-    """Columns ``keep`` of every row of ``df`` with ``lang_pred``, ``score`` and, if wanted, ``spans``.
+def identify(df: DataFrame, model: Model, keep: dict[str, Column] | None = None, text_col: str = "text", with_spans: bool = False, with_fit: bool = False) -> DataFrame:
+    """Columns ``keep`` of every row of ``df`` with ``lang_pred``, ``score`` and, if wanted, ``spans`` and ``known`` and ``fit`` (see :meth:`Labeller.fits`).
 
+    The score compares the languages with each other, so it is 1/L at least, whatever the text; ``known`` and ``fit`` tell whether any of them fits.
     ``und`` with score 0 for null texts and texts without a letter. A narrow map: no shuffle. Repeated rows get equal results.
     """
     keep = keep or {"doc_id": F.col("doc_id")}
@@ -273,6 +296,8 @@ def identify(df: DataFrame, model: Model, keep: dict[str, Column] | None = None,
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_pred string, score double"
     if with_spans:
         ddl += ", spans array<struct<word: int, words: int, lang: string, letters: int>>"
+    if with_fit:
+        ddl += ", known double, fit double"
 
     def start():
         lab = Labeller(model)
@@ -283,6 +308,9 @@ def identify(df: DataFrame, model: Model, keep: dict[str, Column] | None = None,
             out = [*cols[:-1], [g[0] for g in got], [g[1] for g in got]]
             if with_spans:
                 out.append([spans(p, n, model.languages) for p, n, _ in lab.paths(texts)] if model.languages else [[] for _ in texts])
+            if with_fit:
+                fits = lab.fits(texts)
+                out += [[f[0] for f in fits], [f[1] for f in fits]]
             return out
 
         return batch

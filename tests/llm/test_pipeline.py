@@ -1,3 +1,5 @@
+import random
+
 import sentencepiece
 
 import corpus_pipeline as P
@@ -33,3 +35,19 @@ def test_run_and_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_texts_of_no_learned_language_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(5)
+    noise = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(60))
+    foreign = ["Все люди рождаются свободными и равными", "人人生而自由 在尊严和权利上一律平等", "يولد جميع الناس أحرارا متساوين", noise, "xqzj kwvbt"]
+    by = {}
+    for r in docs.orderBy("doc_id").collect():
+        by.setdefault(r.lang, []).append(r.text)
+    mixed = [" ".join(t[0][:400] for t in by.values()), by["en"][1][:300] + " " + by["fr"][1][:300], by["en"][2][:600] + " " + foreign[0]]
+    rows = [(9100 + i, t, "en", "s", len(t)) for i, t in enumerate(foreign)] + [(9200 + i, t, "en", "s", len(t)) for i, t in enumerate(mixed)]
+    got = P.language(spark, docs.union(spark.createDataFrame(rows, docs.schema)), SF)
+    new = {r.doc_id for r in got.where("doc_id >= 9000").collect()}
+    assert new == {9200, 9201, 9202}
+    assert got.where("doc_id < 9000").count() == docs.count()
