@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from iolens.llm import common
 from iolens.llm.language_id import UNKNOWN, fit, identify
 from iolens.llm.mixing import ANCHOR, WEIGHTS, label_domain, mix_rates
-from iolens.llm.neardup import near_duplicates
+from iolens.llm.neardup import LINK_NUM, near_duplicates
 from iolens.llm.queries import held_out
 from iolens.llm.sentencepieces import encode_texts
 
+#: The stage's near duplicates: texts whose word shingles have a similarity of 0.8 or more.
+STAGE_LINK_NUM = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Rejected are texts with less than this share of letters in scripts of the learned languages,
 LEAST_KNOWN = 0.5
@@ -31,15 +33,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
-def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str, link_num: int = LINK_NUM) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest id; rows without an id are kept.
 
     Where several rows share the id that is kept, all of them stay.
     """
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    gone = near_duplicates(docs, link_num=link_num).where(~F.col("kept")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_duplicate_removal(spark, docs, sf_dir, STAGE_LINK_NUM)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says: a rate below one may drop it, one above may repeat it."""
     rated = mix_rates(docs, common.table(spark, sf_dir, "labels"), label_domain(), WEIGHTS, anchor=ANCHOR, keep=tuple(COLUMNS))
@@ -54,7 +60,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language_id", language),
-    ("minhash_neardup", near_duplicate_removal),
+    ("minhash_neardup", near_duplicate_stage),
     ("mixing", mix),
     ("sentencepiece", tokenize),
 ]

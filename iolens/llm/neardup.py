@@ -90,7 +90,7 @@ def signature(s: np.ndarray, collections: int = COLLECTIONS, hashes: int = HASHE
     return h.view(np.int64)
 
 
-def prepared(df: DataFrame, id_col: str, text_col: str, n_words: int = WORDS) -> DataFrame:
+def prepared(df: DataFrame, id_col: str, text_col: str, n_words: int = WORDS, collections: int = COLLECTIONS) -> DataFrame:
     """(id, n_shingles, class, collections) of every row; class and collections are null for empty sets."""
 
     def start():
@@ -102,7 +102,7 @@ def prepared(df: DataFrame, id_col: str, text_col: str, n_words: int = WORDS) ->
                 got = last.get(t)
                 if got is None:
                     s = shingles(t, words, n_words)
-                    got = (len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s)) if len(s) else (0, None, None)
+                    got = (len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s, collections)) if len(s) else (0, None, None)
                     last[t] = got
                 n.append(got[0])
                 cls.append(got[1])
@@ -264,10 +264,11 @@ def near_duplicates(
 
     Rows are linked if ``100 * intersection >= link_num * union`` of their shingle sets; ``component_id`` is the smallest id reachable over
     links, the own id included, and ``kept`` tells whether it is the own one. Null, empty and wordless texts have an empty set and no link.
+    The number of collections follows ``link_num`` (:func:`collections_for`).
     Rows that share an id count as one document: a link of one is a link of all. A null id takes no part: its component is null and it is kept.
     """
     df = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    docs = saved(prepared(df, "id", "text", n_words), "shingles")
+    docs = saved(prepared(df, "id", "text", n_words, collections_for(link_num)), "shingles")
     classes = saved(
         docs.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")),
         "classes",
@@ -276,7 +277,7 @@ def near_duplicates(
     entries = classes.select("rep", F.posexplode("sig").alias("c", "v"))
     shared = entries.groupBy("c", "v").agg(F.count("*").alias("n")).where("n > 1").select("c", "v")
     mine = entries.join(shared, ["c", "v"]).groupBy("rep").agg(F.array_sort(F.collect_set(F.struct("c", "v"))).alias("l")).where("size(l) > 1")
-    # a row has at most 16 of them: their pairs are the table keys
+    # a row has at most as many as there are collections: their pairs are the table keys
     pairs = F.flatten(
         F.transform("l", lambda p, i: F.transform(F.slice("l", i + 2, F.size("l")), lambda q: F.xxhash64(p["c"], p["v"], q["c"], q["v"])))
     )
@@ -328,3 +329,11 @@ def miss_probability(similarity: float, collections: int = COLLECTIONS, hashes:
     """That two sets of this similarity agree in fewer than two collections."""
     p = similarity**hashes
     return (1 - p) ** collections + collections * p * (1 - p) ** (collections - 1)
+
+
+def collections_for(link_num: int) -> int:
+    """The least number of collections, 16 at least, by which sets at the threshold miss each other as rarely as those of 0.85 do by 16."""
+    n = COLLECTIONS
+    while miss_probability(link_num / 100, n) > miss_probability(LINK_NUM / 100):
+        n += 1
+    return n

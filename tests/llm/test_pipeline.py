@@ -5,7 +5,7 @@ import sentencepiece
 import corpus_pipeline as P
 from iolens.llm.common import saved, tokenizer_file
 
-from .test_neardup import brute
+from .test_neardup import brute, plain_set
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +51,16 @@ def test_texts_of_no_learned_language_are_rejected(spark):
     new = {r.doc_id for r in got.where("doc_id >= 9000").collect()}
     assert new == {9200, 9201, 9202}
     assert got.where("doc_id < 9000").count() == docs.count()
+
+
+def test_near_duplicates_between_80_and_85_are_removed(spark):
+    """Pairs with 100 shingles in common and tails of their own: similarities of 0.806, 0.826 and 0.787."""
+    tails, rows = [(12, 12), (10, 11), (14, 13)], []
+    for i in range(30):
+        for j, n in enumerate(tails[i % 3]):
+            rows.append((10 * i + j, " ".join([f"d{i}w{k}" for k in range(104)] + [f"d{i}t{j}x{k}" for k in range(n)])))
+    sets = [plain_set(t) for _, t in rows]
+    assert [round(len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]), 3) for k in (0, 2, 4)] == [0.806, 0.826, 0.787]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    gone = {i for i, _ in rows} - {r.doc_id for r in dict(P.STAGES)["minhash_neardup"](spark, docs, SF).collect()}
+    assert gone == {10 * i + 1 for i in range(30) if i % 3 != 2}
