@@ -427,6 +427,15 @@ def block_neighbours(spark, sf_dir):
     return M.neighbours(b, ("seen",))
 
 
+@query(
+    f"WITH {LOG}, b AS (SELECT vol, blk, max(seq) AS seen FROM a GROUP BY vol, blk), n AS (SELECT *, lag(blk) OVER w AS pb, lag(seen) OVER w AS ps, lead(blk) OVER w AS nb, lead(seen) OVER w AS ns FROM b WINDOW w AS (PARTITION BY vol ORDER BY blk)) "
+    "SELECT vol, blk, seen, CASE WHEN pb = blk - 1 THEN ps END AS prev_seen, CASE WHEN nb = blk + 1 THEN ns END AS next_seen FROM n"
+)
+def all_block_neighbours(spark, sf_dir):
+    """Every block of the log; block_neighbours and its twin leave out blocks divisible by 5."""
+    return M.neighbours(log(spark, sf_dir).groupBy("vol", "blk").agg(F.max("seq").alias("seen")), ("seen",))
+
+
 @query(f"WITH {LOG} SELECT seq, vol, row_number() OVER (PARTITION BY vol ORDER BY seq) - 1 AS blk, lead(seq) OVER (PARTITION BY vol ORDER BY seq) IS NULL AS is_last FROM a")
 def scan_last_block(spark, sf_dir):
     return R.mark_last(R.scan_layout(log(spark, sf_dir))).select("seq", "vol", "blk", "is_last")
