@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -77,6 +78,27 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Hash values that samples are drawn by.
+UNITS = 1 << 50
+
+
+def sample_units(rows: int, wanted: int) -> int:
+    """How many of the UNITS hash values are taken of so many rows: never none, whatever their number."""
+    return UNITS if rows <= wanted else max(1, -(-UNITS * wanted // rows))
+
+
+def sampled(df: DataFrame, wanted: int) -> DataFrame:
+    """About ``wanted`` of the different rows of ``df``, or all if they are fewer, chosen by a hash of all columns.
+
+    Rows that are equal in every column count once, so one row with any number of copies neither fills nor empties the sample. What is left is small:
+    a table of about ``wanted`` rows, whatever the size of ``df``.
+    """
+    code = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(UNITS))
+    n = df.agg(F.approx_count_distinct(code, 0.02).alias("n")).first()["n"]
+    units = sample_units(n, wanted)
+    return (df if units == UNITS else df.where(code < units)).distinct()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
