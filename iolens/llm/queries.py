@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import common
 from .html_extract import extract
 from .language_id import fit, identify
-from .mixing import ANCHOR, WEIGHTS, label_domain, mix_rates
+from .mixing import ANCHOR, EVEN, WEIGHTS, label_domain, mix_rates
 from .neardup import near_duplicates
 from .sentencepieces import encode_texts
 from .token_counts import count_tokens
@@ -112,7 +112,7 @@ FROM judged
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_rates(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), label_domain(), WEIGHTS, anchor=ANCHOR)
+    return mix_rates(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), label_domain(), WEIGHTS, anchor=ANCHOR, others={"even": EVEN})
 
 
 def held_out(doc_id: str = "doc_id"):
