@@ -23,7 +23,7 @@ def test_totals_are_the_least_squares_ones(spark, weights, near):
     p = rng.dirichlet([0.3, 0.2, 0.1], 80)
     n = rng.integers(1, 500, 80).astype(float)
     cells = spark.createDataFrame([(x.tolist(), float(y)) for x, y in zip(p, n, strict=True)], "p array<double>, n double").repartition(3)
-    mix = M.fit_rates(cells, ["a", "b", "c"], weights)
+    mix = M.fit_rates(cells, ["a", "b", "c"], weights, rounds=20)
     want = solve_plainly(p, n, np.array(mix.targets), (p * n[:, None]).T @ p)
     off = lambda e: float((np.array(e) - mix.targets) @ np.linalg.pinv((p * n[:, None]).T @ p) @ (np.array(e) - mix.targets))
     assert np.allclose(mix.totals, want, rtol=2e-3, atol=near * n.sum())
