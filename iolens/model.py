@@ -20,7 +20,8 @@ class CacheConfig:
     """One simulated configuration.
 
     ``ram_blocks`` is the whole memory; in content mode ``content_blocks`` of it are a cache by content. ``write_updates`` re-maps a block's
-    content when it is written; by default content mode does and the others do not. ``intra_only`` lets a block be led by blocks of its own volume only.
+    content when it is written; by default content mode does and the others do not (in plain mode there is nothing to map). ``reads`` and ``writes`` tell which accesses are replayed, ``iterations`` how
+    often in a row the log is, with maps and cache kept. ``intra_only`` lets a block be led by blocks of its own volume only.
     """
 
     mode: str = "plain"
@@ -52,7 +53,7 @@ class CacheConfig:
 
     @property
     def updates(self) -> bool:
-        return self.mode == "content" if self.write_updates is None else self.write_updates
+        return self.mode == "content" if self.write_updates is None else self.write_updates and self.mode != "plain"
 
     @property
     def cache_blocks(self) -> int:
@@ -60,4 +61,8 @@ class CacheConfig:
 
     @property
     def name(self) -> str:
-        return f"{self.mode}-{self.ram_blocks}" + (f"-{self.content_blocks}" if self.content_blocks else "") + ("-w" if self.updates else "") + ("-intra" if self.intra_only else "")
+        """Different for configurations that differ in anything that matters: outcomes and counters go by it."""
+        out = f"{self.mode}-{self.ram_blocks}" + (f"-{self.content_blocks}" if self.content_blocks else "")
+        out += ("-w" if self.updates else "") + ("-intra" if self.intra_only else "")
+        out += ("" if self.writes else "-reads") + ("" if self.reads else "-writes")
+        return out + (f"-x{self.iterations}" if self.iterations > 1 else "")

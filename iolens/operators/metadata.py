@@ -2,27 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .running import last_before
+from .live import latest_live
+from .running import first_after, last_before
 from .sequence import kept
 
 BLOCK = ("vol", "blk")
 
 
-def _past(end: int = -1):
-    return Window.partitionBy(*BLOCK).orderBy("seq").rowsBetween(Window.unboundedPreceding, end)
-
-
 def disk_view(accesses: DataFrame) -> DataFrame:
     """Accesses with the disk's content: ``content`` of a read becomes what was last written, or first read, at its block.
 
     ``trace_content`` keeps the log's own, ``was_inconsistent`` tells reads that the disk overrules.
     """
-    out = accesses.withColumnRenamed("content", "trace_content").withColumn("__w", F.last(F.when(~F.col("is_read"), F.col("trace_content")), ignorenulls=True).over(_past()))
-    out = out.withColumn("__f", F.first(F.when(F.col("is_read"), F.col("trace_content")), ignorenulls=True).over(_past(0)))
-    out = out.withColumn("content", F.when(F.col("is_read"), F.coalesce("__w", "__f")).otherwise(F.col("trace_content"))).drop("__w", "__f")
+    out = accesses.withColumnRenamed("content", "trace_content")
+    first = out.where("is_read and trace_content is not null").groupBy(*BLOCK).agg(F.min(F.struct("seq", "trace_content")).alias("__f"))
+    out = last_before(out, BLOCK, F.when(~F.col("is_read"), F.col("trace_content")), name="__w").join(first, list(BLOCK), "left")
+    read = F.coalesce("__w", F.when(F.col("__f.seq") <= F.col("seq"), F.col("__f.trace_content")))
+    out = out.withColumn("content", F.when(F.col("is_read"), read).otherwise(F.col("trace_content"))).drop("__w", "__f")
     return out.withColumn("was_inconsistent", F.coalesce(F.col("is_read") & (F.col("trace_content") != F.col("content")), F.lit(False)))
 
 
@@ -31,10 +30,8 @@ def touches(accesses: DataFrame) -> DataFrame:
 
     This is the map of a log without write updates and without a cache in front: every read that is not clean maps its block.
     """
-    w = Window.partitionBy(*BLOCK).orderBy("seq")
-    out = accesses.withColumn("first_touch", F.row_number().over(w) == 1)
-    before = F.lag("is_read").over(w)
-    return out.withColumn("dirty", F.coalesce(F.col("is_read") & ~before, F.lit(False)))
+    out = last_before(accesses, BLOCK, F.col("is_read"), name="__b")
+    return out.withColumns({"first_touch": F.col("__b").isNull(), "dirty": F.coalesce(F.col("is_read") & ~F.col("__b"), F.lit(False))}).drop("__b")
 
 
 def map_intervals(accesses: DataFrame, write_updates: bool = True) -> DataFrame:
@@ -43,11 +40,8 @@ def map_intervals(accesses: DataFrame, write_updates: bool = True) -> DataFrame:
     With write updates every write maps, and a read maps the block it touches first. Then the cache has no say: what was never
     touched cannot be cached. Without write updates writes only end intervals, and the next read maps again.
     """
-    w = Window.partitionBy(*BLOCK).orderBy("seq")
-    after = Window.partitionBy(*BLOCK).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
-    rows = accesses.withColumn("to_seq", F.min(F.when(~F.col("is_read"), F.col("seq"))).over(after))
-    prev = F.lag("is_read").over(w)
-    rows = rows.withColumn("__prev", prev)
+    rows = last_before(accesses.select(*BLOCK, "seq", "is_read", "content"), BLOCK, F.col("is_read"), name="__prev")
+    rows = first_after(rows, BLOCK, F.when(~F.col("is_read"), F.col("seq")), name="to_seq")
     maps = F.col("__prev").isNull() | ~F.col("is_read") if write_updates else F.col("is_read") & (F.col("__prev").isNull() | ~F.col("__prev"))
     return rows.where(maps).select(*BLOCK, "content", F.col("seq").alias("from_seq"), "to_seq")
 
@@ -56,16 +50,15 @@ def leaders(reads: DataFrame, intervals: DataFrame, within: tuple[str, ...] = ("
     """Reads with the leader of their content: the block that was mapped to it last and still is (lead_vol, lead_blk, lead_seq; null if none).
 
     ``within`` = ("content", "vol") looks at the own volume only. Most reads follow a mapping that still holds, which windows over stretches of a content's
-    events find, however often it occurs; only the others meet all earlier mappings of their content in an interval join.
+    events find, however often it occurs; the others look among the mappings alive in their stretch (:func:`latest_live`). No read meets a list of mappings.
     """
     keys = list(within)
     maps = intervals.select(*keys, *(c for c in BLOCK if c not in keys), "from_seq", "to_seq")
     maps = maps.select(*keys, F.struct(F.col("from_seq").alias("seq"), F.col("vol").alias("vol"), F.col("blk").alias("blk"), F.col("to_seq").alias("end")).alias("m"))
     events = reads.select(*keys, "seq", F.lit(None).cast(maps.schema["m"].dataType).alias("m")).unionByName(maps.select(*keys, F.col("m.seq").alias("seq"), "m"))
-    last = last_before(events, tuple(keys), F.col("m"), name="l").where("m is null").select("seq", *keys, "l")
+    last = kept(last_before(events, tuple(keys), F.col("m"), name="l").where("m is null").select("seq", *keys, "l"))
     alive = F.col("l").isNull() | F.col("l.end").isNull() | (F.col("l.end") > F.col("seq"))
-    late = last.where(~alive).select("seq", *keys)
-    older = maps.join(late, keys).where("m.seq < seq and (m.end is null or m.end > seq)").groupBy("seq").agg(F.max("m").alias("o"))
+    older = latest_live(last.where(~alive).select("seq", *keys), maps, tuple(keys)).select("seq", "o")
     found = last.withColumn("l", F.when(alive, F.col("l"))).join(older, "seq", "left").select("seq", F.coalesce("l", "o").alias("l"))
     out = reads.join(found, "seq", "left")
     return out.withColumns({"lead_vol": F.col("l.vol"), "lead_blk": F.col("l.blk"), "lead_seq": F.col("l.seq")}).drop("l")
@@ -76,9 +69,8 @@ def redirected(accesses: DataFrame, intra_only: bool = False) -> DataFrame:
 
     A clean read goes to the leader of its content, everything else to its own block.
     """
-    w = Window.partitionBy(*BLOCK).orderBy("seq")
     accesses = kept(accesses)
-    rows = accesses.withColumn("clean", F.col("is_read") & (F.row_number().over(w) > 1))
+    rows = last_before(accesses, BLOCK, F.col("seq"), name="__p").withColumn("clean", F.col("is_read") & F.col("__p").isNotNull()).drop("__p")
     clean = rows.where("clean")
     led = leaders(clean.select("seq", "vol", "content"), map_intervals(accesses), ("content", "vol") if intra_only else ("content",))
     out = rows.join(led.select("seq", "lead_vol", "lead_blk"), "seq", "left")
@@ -91,10 +83,9 @@ def mapped_state(accesses: DataFrame, write_updates: bool = False) -> DataFrame:
 
     Without write updates a write leaves its block dirty and the next read maps it; with them every access leaves it clean. No cache stands in front.
     """
-    w = Window.partitionBy(*BLOCK).orderBy("seq")
-    before = F.lag("is_read").over(w)
-    clean = F.lit("clean")
-    return accesses.withColumn("__b", before).withColumn("state", F.when(F.col("__b").isNull(), "absent").when(F.col("__b") | F.lit(write_updates), clean).otherwise("dirty")).drop("__b")
+    before = last_before(accesses, BLOCK, F.col("is_read"), name="__b")
+    state = F.when(F.col("__b").isNull(), "absent").when(F.col("__b") | F.lit(write_updates), "clean").otherwise("dirty")
+    return before.withColumn("state", state).drop("__b")
 
 
 def members(probes: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -104,26 +95,24 @@ def members(probes: DataFrame, intervals: DataFrame) -> DataFrame:
     """
     maps = intervals.select(*BLOCK, F.col("from_seq").alias("seq"), F.struct(F.col("content").alias("c"), F.col("to_seq").alias("end")).alias("m"), F.lit(None).cast("string").alias("content"))
     rows = probes.select(*BLOCK, "seq", F.lit(None).cast(maps.schema["m"].dataType).alias("m"), "content").unionByName(maps)
-    w = Window.partitionBy(*BLOCK).orderBy("seq", F.col("m").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__l", F.last("m", ignorenulls=True).over(w)).where("m is null")
+    rows = last_before(rows, BLOCK, F.col("m"), name="__l").where("m is null")
     alive = F.col("__l.end").isNull() | (F.col("__l.end") >= F.col("seq"))
     return rows.select("seq", *BLOCK, "content", F.coalesce((F.col("__l.c") == F.col("content")) & alive, F.lit(False)).alias("is_member"))
 
 
 def leader_content(led: DataFrame, disk: DataFrame) -> DataFrame:
     """Reads with a leader (seq, content, lead_vol, lead_blk) and ``lead_content``, what the disk held at the leader then: a check for colliding hashes."""
-    asks = led.where("lead_blk is not null").select("seq", F.col("lead_vol").alias("vol"), F.col("lead_blk").alias("blk"), F.lit(None).cast("string").alias("c"), F.lit(True).alias("asks"))
-    rows = asks.unionByName(disk.select("seq", "vol", "blk", F.col("content").alias("c"), F.lit(False).alias("asks")))
-    w = Window.partitionBy(*BLOCK).orderBy("seq", "asks").rowsBetween(Window.unboundedPreceding, -1)
-    got = rows.withColumn("lead_content", F.last("c", ignorenulls=True).over(w)).where("asks").select("seq", "lead_content")
+    # of equal places what the disk got comes first
+    asks = led.where("lead_blk is not null").select("seq", F.col("lead_vol").alias("vol"), F.col("lead_blk").alias("blk"), F.lit(None).cast("string").alias("c"), (F.col("seq") * 2 + 1).alias("at"))
+    rows = asks.unionByName(disk.select("seq", "vol", "blk", F.col("content").alias("c"), (F.col("seq") * 2).alias("at")))
+    got = last_before(rows, BLOCK, F.col("c"), "at", "lead_content").where("at % 2 = 1").select("seq", "lead_content")
     return led.join(got, "seq", "left")
 
 
 def neighbours(blocks: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Blocks (vol, blk, ...) with ``prev_`` and ``next_`` of columns from the blocks right before and after them; null where these are missing."""
-    w = Window.partitionBy("vol").orderBy("blk")
+    """Blocks (vol, blk, ...; each once) with ``prev_`` and ``next_`` of columns from the blocks right before and after them; null where these are missing. Equi-joins on the block's number."""
     out = blocks
-    for c in columns:
-        out = out.withColumn(f"prev_{c}", F.when(F.lag("blk").over(w) == F.col("blk") - 1, F.lag(c).over(w)))
-        out = out.withColumn(f"next_{c}", F.when(F.lead("blk").over(w) == F.col("blk") + 1, F.lead(c).over(w)))
+    for side, step in (("prev", 1), ("next", -1)):
+        other = blocks.select("vol", (F.col("blk") + step).alias("blk"), *(F.col(c).alias(f"{side}_{c}") for c in columns))
+        out = out.join(other, list(BLOCK), "left")
     return out

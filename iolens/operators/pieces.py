@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..model import BLOCK_BYTES
+from .running import running_sum
+from .sequence import kept
 
 #: A bunch holds this many requests and lasts this many nanoseconds.
 BUNCH_SIZE, BUNCH_NS = 8, 10_000_000
@@ -52,29 +57,87 @@ def stitch_check(pieces: DataFrame, blocks: DataFrame, by: str = "seq", content:
     return blocks.join(got, by, "full_outer").where(~F.col("__got").eqNullSafe(F.col(content))).select(by)
 
 
-def bunches(requests: DataFrame, size: int = BUNCH_SIZE, ns: int = BUNCH_NS, stream: str = "vol") -> DataFrame:
+def bunches(requests: DataFrame, size: int = BUNCH_SIZE, ns: int = BUNCH_NS, stream: str = "vol", span: int = 1 << 16) -> DataFrame:
     """Requests (stream, seq, at) with ``bunch``, the ``seq`` of the first request of their bunch.
 
     A bunch of a stream ends when it holds ``size`` requests or when the next comes more than ``ns`` after its first. Where bunches begin follows from the one
-    before, so a stream is read in order, row by row; its task holds one bunch's state only. A request earlier than its predecessor fails the job.
+    before; but the first to begin in a stretch of a stream is one of its first ``size`` requests, so each stretch tells for each of these where the next stretch's first begins. These small tables, a row a
+    stretch, are followed in order; then every stretch is marked by itself. A request earlier than its predecessor fails the job.
     """
-    rows = requests.select(stream, "seq", "at")
-    fields = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
-    kind = rows.schema[stream].dataType.simpleString()
-    schema = pa.schema([(stream, fields[kind]), ("seq", pa.int64()), ("bunch", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, began, first, last = object(), 0, 0, 0, 0
+    kind = requests.schema[stream].dataType.simpleString()
+    rows = running_sum(requests.select(stream, "seq", "at"), (stream,), {"i": F.lit(1)}).withColumn("i", F.col("i").cast("bigint") - 1)
+    rows = kept(rows.withColumn("stretch", F.floor(F.col("i") / span)))
+    # the first requests of a stretch are also seen by the one before
+    ahead = rows.where((F.col("stretch") > 0) & (F.col("i") % span < size)).withColumn("stretch", F.col("stretch") - 1)
+    seen = rows.withColumn("own", F.lit(True)).union(ahead.withColumn("own", F.lit(False)))
+    ordered = lambda d: d.repartition(stream, "stretch").sortWithinPartitions(stream, "stretch", "i")
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[np.ndarray]]]:
+        """(stream, stretch) and the other columns of each stretch."""
+        now, parts = None, []
+        for b in batches:
+            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns[2:]]
+            at = 0
+            while at < len(keys):
+                end = at
+                while end < len(keys) and keys[end] == keys[at]:
+                    end += 1
+                if keys[at] != now:
+                    if parts:
+                        yield now, [np.concatenate(c) for c in zip(*parts, strict=True)]
+                    now, parts = keys[at], []
+                parts.append([c[at:end] for c in cols])
+                at = end
+        if parts:
+            yield now, [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+    def following(at: np.ndarray, n: int) -> list[int]:
+        """For each of the first n requests, were it the first of a bunch, the one that the next bunch begins with."""
+        return np.minimum(np.arange(n) + size, np.searchsorted(at, at[:n] + ns, side="right")).tolist()
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (name, stretch), (seq, at, own) in groups(batches):
+            if (late := np.flatnonzero(np.diff(at) < 0)).size:
+                raise ValueError(f"request {seq[late[0] + 1]} comes before its predecessor")
+            n = int(own.sum())
+            after = following(at, n)
+            leave, last = [0] * n, [0] * n
+            for j in range(n - 1, -1, -1):
+                to = after[j]
+                leave[j], last[j] = (to - n, int(seq[j])) if to >= n else (leave[to], last[to])
+            yield pa.RecordBatch.from_pylist([{stream: name, "stretch": stretch, "leave": leave[:size], "last": last[:size]}], schema=told)
+
+    told = to_arrow_schema(T.StructType.fromDDL(f"`{stream}` {kind}, stretch bigint, leave array<int>, last array<bigint>"))
+    tables = ordered(seen).select(stream, "stretch", "seq", "at", "own").mapInArrow(tell, f"`{stream}` {kind}, stretch bigint, leave array<int>, last array<bigint>")
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, enter, open_ = object(), 0, None
         for b in batches:
             out = []
-            for s, seq, at in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if s == now and at < last:
-                    raise ValueError(f"request {seq} comes before its predecessor")
-                if s != now or held >= size or at - began > ns:
-                    now, held, began, first = s, 0, at, seq
-                held, last = held + 1, at
-                out.append((s, seq, first))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else ((), (), ()), schema, strict=True)], schema=schema)
-
-    marked = rows.repartition(stream).sortWithinPartitions(stream, "seq").mapInArrow(run, f"`{stream}` {kind}, seq bigint, bunch bigint")
-    return requests.join(marked, [stream, "seq"])
+            for r in b.to_pylist():
+                if r[stream] != now:
+                    now, enter, open_ = r[stream], 0, None
+                out.append({stream: now, "stretch": r["stretch"], "enter": enter, "open": open_})
+                if enter < len(r["leave"]):
+                    enter, open_ = r["leave"][enter], r["last"][enter]
+            yield pa.RecordBatch.from_pylist(out, schema=followed)
+
+    followed = to_arrow_schema(T.StructType.fromDDL(f"`{stream}` {kind}, stretch bigint, enter int, open bigint"))
+    entries = tables.repartition(stream).sortWithinPartitions(stream, "stretch").mapInArrow(follow, f"`{stream}` {kind}, stretch bigint, enter int, open bigint")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (name, _), (seq, at, own, enter, open_) in groups(batches):
+            n = int(own.sum())
+            after, j, first = following(at, n), int(enter[0]), []
+            while j < n:
+                first.append(j)
+                j = after[j]
+            which = np.searchsorted(first, np.arange(n), side="right") - 1
+            bunch = seq[first][which] if first else np.zeros(n, np.int64)
+            bunch = np.where(which >= 0, bunch, 0 if np.isnan(open_[0]) else int(open_[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([name] * n, marked_as.field(0).type), pa.array(seq[:n]), pa.array(bunch.astype(np.int64))], schema=marked_as)
+
+    marked_as = to_arrow_schema(T.StructType.fromDDL(f"`{stream}` {kind}, seq bigint, bunch bigint"))
+    marked = ordered(seen.join(entries, [stream, "stretch"])).select(stream, "stretch", "seq", "at", "own", "enter", F.col("open").cast("double"))
+    return requests.join(marked.mapInArrow(mark, f"`{stream}` {kind}, seq bigint, bunch bigint"), [stream, "seq"])

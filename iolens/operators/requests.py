@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import BLOCK_BYTES
+from .running import last_before, running_sum
 
 READ_EVENTS = ("DFR", "CFR", "OFR")
 WRITE_EVENTS = ("CFNW", "OFNW", "OFDW")
@@ -93,21 +94,17 @@ def with_warmup(warmup: DataFrame, df: DataFrame) -> DataFrame:
 
 
 def scan_layout(df: DataFrame) -> DataFrame:
-    """A log read as a scan: every record is a read of the next block of its volume."""
-    from pyspark.sql import Window
-
-    return df.withColumn("blk", (F.row_number().over(Window.partitionBy("vol").orderBy("seq")) - 1).cast("bigint")).withColumn("is_read", F.lit(True))
+    """A log read as a scan: every record is a read of the next block of its volume. Blocks are counted in stretches, so a volume is not one task."""
+    rows = df.drop("blk", "is_read")
+    return running_sum(rows, ("vol",), {"blk": F.lit(1)}).withColumn("blk", F.col("blk").cast("bigint") - 1).withColumn("is_read", F.lit(True))
 
 
 def mark_last(df: DataFrame) -> DataFrame:
     """A scan with ``is_last`` for the last block of each volume."""
-    from pyspark.sql import Window
-
-    return df.withColumn("is_last", F.lead("seq").over(Window.partitionBy("vol").orderBy("seq")).isNull())
+    last = df.groupBy("vol").agg(F.max("seq").alias("__last"))
+    return df.join(last, "vol").withColumn("is_last", F.col("seq") == F.col("__last")).drop("__last")
 
 
 def inversions(df: DataFrame, stream: str = "vol", at: str = "at") -> DataFrame:
     """Rows that come before the first time of their stream, or before the row in front of them: empty for a sound log."""
-    from pyspark.sql import Window
-
-    return df.where(F.col(at).isNotNull()).withColumn("__p", F.lag(at).over(Window.partitionBy(stream).orderBy("seq"))).where(F.col("__p") > F.col(at)).drop("__p")
+    return last_before(df.where(F.col(at).isNotNull()), (stream,), F.col(at), name="__p").where(F.col("__p") > F.col(at)).drop("__p")

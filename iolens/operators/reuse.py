@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import last_before
 from .sequence import kept
 
 #: Places of a column of the grid, at least, and columns at most.
@@ -27,7 +28,7 @@ CELL, COLUMNS = 1 << 18, 1 << 14
 
 def previous(accesses: DataFrame, key: tuple[str, ...]) -> DataFrame:
     """Accesses with ``prev_seq``, the place of the previous access of the same key."""
-    return accesses.withColumn("prev_seq", F.lag("seq").over(Window.partitionBy(*key).orderBy("seq")))
+    return last_before(accesses, key, F.col("seq"), name="prev_seq")
 
 
 def dominated(x: np.ndarray, y: np.ndarray, qx: np.ndarray, qy: np.ndarray) -> np.ndarray:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import accumulate
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,23 +16,24 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
-def with_seq(df: DataFrame, first: Column, *ties: Column, name: str = "seq", rows_per_range: int = 1_000_000) -> DataFrame:
-    """Number rows from 0 in the order of ``first`` (a number) and ``ties``, without a global sort in one task.
+def with_seq(df: DataFrame, first: Column, *ties: Column, name: str = "seq", partitions: int | None = None) -> DataFrame:
+    """Number rows from 0 in the order of ``first`` and ``ties``, without a global sort in one task. Nulls come first.
 
-    Approximate quantiles of ``first`` cut the table into ranges; rows are numbered within their range and ranges are offset by the
-    counts before them. Ranges depend on the data only, so a task that runs again numbers its rows alike. Nulls come first.
+    The table is dealt out by ranges of the order and sorted within them, one row's place being its partition and its position there. It is kept in that state, so that places and the
+    partitions' counts, the offsets, are of one and the same deal. A row that is equal to another in the whole order may swap places with it. Only one row a partition meets in one task.
     """
-    rows = df.select(F.count("*").alias("n")).first()["n"]
-    parts = max(1, -(-rows // rows_per_range))
     order = [first.asc_nulls_first(), *(t.asc_nulls_first() for t in ties)]
-    if parts == 1:
-        return df.withColumn(name, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1).cast("bigint"))
-    cuts = df.select(F.percentile_approx(first, [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []
-    cuts = sorted(set(cuts)) or [0]  # no cut where all are null
-    bucket = F.coalesce(F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda a, c: a + F.when(c < first, 1).otherwise(0)), F.lit(0))
-    df = df.withColumn("__range", bucket)
-    counts = {r["__range"]: r["count"] for r in df.groupBy("__range").count().collect()}  # a number a range
-    before = dict(zip(sorted(counts), accumulate([0, *(counts[k] for k in sorted(counts))]), strict=False))
-    offsets = F.create_map(*[x for kv in before.items() for x in map(F.lit, kv)])
-    local = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
-    return df.withColumn(name, (local - 1 + offsets[F.col("__range")]).cast("bigint")).drop("__range")
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    placed = kept(ranged.sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    out = placed.withColumn("__part", part).join(offsets, "__part")
+    return out.withColumn(name, F.col("__offset") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__offset")
+
+
+def dense(df: DataFrame, name: str = "seq", span: int | None = None) -> DataFrame:
+    """``df`` with its order ``name`` (whole numbers, each once) numbered anew from 0 without gaps, by counts of stretches."""
+    from .running import SPAN, running_sum
+
+    return running_sum(df.withColumnRenamed(name, "__old"), (), {name: F.lit(1)}, ("__old",), span or SPAN).withColumn(name, F.col(name).cast("bigint") - 1).drop("__old")

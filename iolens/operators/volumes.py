@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running_max
+
 
 def capacities(accesses: DataFrame) -> DataFrame:
     """(vol, cap): one more than the highest block seen of each volume."""
@@ -12,8 +14,7 @@ def capacities(accesses: DataFrame) -> DataFrame:
 
 
 def capacity_over_time(accesses: DataFrame) -> DataFrame:
-    w = Window.partitionBy("vol").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return accesses.withColumn("cap", F.max("blk").over(w) + 1)
+    return running_max(accesses, ("vol",), {"cap": F.col("blk")}).withColumn("cap", F.col("cap") + 1)
 
 
 def place(caps: DataFrame) -> DataFrame:
@@ -48,13 +49,16 @@ def to_physical(accesses: DataFrame, volumes: DataFrame, check: bool = False) ->
 def overlaps(volumes: DataFrame) -> DataFrame:
     """Pairs (a, b, lo, hi) of volumes whose physical ranges overlap, each once.
 
-    Volumes sorted by their base need only be compared with those that begin before they end: the ranges are cut into cells of the largest
-    capacity and meet in a cell, so this is an equi-join, not a comparison of all with all.
+    Volumes have classes by size, powers of two. Those of a class are cut into cells of that size, two at most a volume, and so are smaller volumes for every larger class there
+    is (64 at most). Two ranges that overlap share a cell of the larger one's class, so this is an equi-join, and one huge volume does not make the cells of the others large.
     """
-    v = volumes.where("cap > 0").select("vol", "base", (F.col("base") + F.col("cap") - 1).alias("last"))
-    width = v.agg(F.max(F.col("last") - F.col("base") + 1)).first()[0] or 1
-    cell = lambda c: F.floor(F.col(c) / width)
-    v = v.withColumn("cell", F.explode(F.sequence(cell("base"), cell("last"))))
-    a, b = v.toDF("a", "a_lo", "a_hi", "cell"), v.toDF("b", "b_lo", "b_hi", "cell")
-    met = a.join(b, "cell").where("a < b and a_lo <= b_hi and b_lo <= a_hi")
-    return met.select("a", "b", F.greatest("a_lo", "b_lo").alias("lo"), F.least("a_hi", "b_hi").alias("hi")).distinct()
+    v = volumes.where("cap > 0").select("vol", "base", (F.col("base") + F.col("cap") - 1).alias("last"), F.ceil(F.log2(F.col("cap"))).cast("int").alias("own"))
+    levels = sorted(r["own"] for r in v.select("own").distinct().collect())  # 64 at most
+    if not levels:
+        return v.selectExpr("vol as a", "vol as b", "base as lo", "last as hi")
+    cells = lambda d: d.withColumn("cell", F.explode(F.sequence(F.floor(F.col("base") / F.pow(F.lit(2.0), "level")), F.floor(F.col("last") / F.pow(F.lit(2.0), "level")))))
+    large = cells(v.withColumn("level", F.col("own"))).toDF("a", "a_lo", "a_hi", "a_own", "level", "cell")
+    small = v.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col("own"))))
+    small = cells(small).toDF("b", "b_lo", "b_hi", "b_own", "level", "cell")
+    met = large.join(small, ["level", "cell"]).where("(b_own < a_own or a < b) and a_lo <= b_hi and b_lo <= a_hi")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.greatest("a_lo", "b_lo").alias("lo"), F.least("a_hi", "b_hi").alias("hi")).distinct()

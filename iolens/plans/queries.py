@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rabin import ChunkRule, with_chunks
@@ -16,6 +16,7 @@ from ..operators import pieces as P
 from ..operators import requests as R
 from ..operators import reuse as U
 from ..operators import volumes as V
+from ..operators.sequence import with_seq
 from ..sources.tables import CONTENTS, VOLUMES, events_accesses
 from .replay import simulate, sweep
 
@@ -74,27 +75,26 @@ m AS (
     SELECT *, min(CASE WHEN NOT is_read THEN seq END) OVER (PARTITION BY vol, blk ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS to_seq FROM d)
   WHERE touch = 1 OR NOT is_read)"""
 )
-LEADERS = (
-    INTERVALS
-    + """,
-l AS (
-  SELECT d.seq, arg_max(struct_pack(v := m.vol, b := m.blk), m.from_seq) AS lead FROM d JOIN m ON d.content = m.content AND m.from_seq < d.seq AND (m.to_seq IS NULL OR m.to_seq > d.seq)
-  WHERE d.is_read AND d.touch > 1 GROUP BY d.seq)"""
-)
-REDIRECTED = (
-    LEADERS
-    + """,
-k AS (
-  SELECT d.seq, d.vol, d.blk, d.is_read, d.is_read AND d.touch > 1 AS clean, coalesce(l.lead.v, d.vol) AS key_vol, coalesce(l.lead.b, d.blk) AS key_blk FROM d LEFT JOIN l ON d.seq = l.seq)"""
-)
 
 
-def distances_sql(source: str, key: str) -> str:
+def leaders_sql(within: str = "", tag: str = "") -> str:
+    return f"""
+l{tag} AS (
+  SELECT d.seq, arg_max(struct_pack(v := m.vol, b := m.blk), m.from_seq) AS lead FROM d JOIN m ON d.content = m.content {within} AND m.from_seq < d.seq AND (m.to_seq IS NULL OR m.to_seq > d.seq)
+  WHERE d.is_read AND d.touch > 1 GROUP BY d.seq),
+k{tag} AS (
+  SELECT d.seq, d.vol, d.blk, d.is_read, d.is_read AND d.touch > 1 AS clean, coalesce(l.lead.v, d.vol) AS key_vol, coalesce(l.lead.b, d.blk) AS key_blk FROM d LEFT JOIN l{tag} l ON d.seq = l.seq)"""
+
+
+LEADERS = REDIRECTED = INTERVALS + "," + leaders_sql()
+
+
+def distances_sql(source: str, key: str, tag: str = "") -> str:
     return f"""
-p AS (SELECT *, lag(seq) OVER (PARTITION BY {key} ORDER BY seq) AS prev_seq FROM {source}),
-r AS (
-  SELECT p.seq, count(j.seq) AS distance FROM p LEFT JOIN p j ON j.seq > p.prev_seq AND j.seq < p.seq AND coalesce(j.prev_seq, -1) <= p.prev_seq WHERE p.prev_seq IS NOT NULL GROUP BY p.seq),
-u AS (SELECT p.*, r.distance FROM p LEFT JOIN r ON p.seq = r.seq)"""
+p{tag} AS (SELECT *, lag(seq) OVER (PARTITION BY {key} ORDER BY seq) AS prev_seq FROM {source}),
+r{tag} AS (
+  SELECT p.seq, count(j.seq) AS distance FROM p{tag} p LEFT JOIN p{tag} j ON j.seq > p.prev_seq AND j.seq < p.seq AND coalesce(j.prev_seq, -1) <= p.prev_seq WHERE p.prev_seq IS NOT NULL GROUP BY p.seq),
+u{tag} AS (SELECT p.*, r.distance FROM p{tag} p LEFT JOIN r{tag} r ON p.seq = r.seq)"""
 
 
 # -- queries -------------------------------------------------------------------
@@ -246,8 +246,7 @@ def map_intervals(spark, sf_dir):
 @query(f"WITH {LEADERS} SELECT d.seq, d.vol, d.blk, l.lead.v AS lead_vol, l.lead.b AS lead_blk FROM d LEFT JOIN l ON d.seq = l.seq WHERE d.is_read AND d.touch > 1")
 def leader_lookup(spark, sf_dir):
     a = consistent(spark, sf_dir)
-    w = Window.partitionBy("vol", "blk").orderBy("seq")
-    reads = a.withColumn("touch", F.row_number().over(w)).where("is_read and touch > 1")
+    reads = M.mapped_state(a, True).where("is_read and state = 'clean'")
     return M.leaders(reads, M.map_intervals(a)).select("seq", "vol", "blk", "lead_vol", "lead_blk")
 
 
@@ -315,15 +314,8 @@ def piece_split(spark, sf_dir):
     return P.split_at_blocks(s).select("seq", "blk", "start", "nbytes")
 
 
-@query("SELECT doc_id AS seq, md5(text) AS content FROM documents WHERE text IS NOT NULL AND length(text) BETWEEN 1 AND 4096")
-def stitched_texts(spark, sf_dir):
-    b = doc_blocks(spark, sf_dir).join(table(spark, sf_dir, "documents").where(F.length("text").between(1, 4096)).select(F.col("doc_id").alias("seq")), "seq", "left_semi")
-    return P.stitched(b, pad=F.lit("")).select("seq", F.md5("content").alias("content"))
-
-
 @query("SELECT doc_id AS seq, md5(text) AS content FROM documents WHERE text IS NOT NULL AND text <> ''")
-def stitched_all_texts(spark, sf_dir):
-    """Every document with text, however long; stitched_texts and its twin stop at 4096 characters."""
+def stitched_texts(spark, sf_dir):
     return P.stitched(doc_blocks(spark, sf_dir), pad=F.lit("")).select("seq", F.md5("content").alias("content"))
 
 
@@ -344,19 +336,78 @@ def bunch_summary(spark, sf_dir):
     return P.bunches(r, ns=BUNCH_NS).groupBy("vol", "bunch").agg(F.count("*").alias("n"), F.min("at").alias("began"))
 
 
+COUNTERS = (
+    "CAST(count(*) FILTER (WHERE is_read) AS BIGINT) AS reads, count(*) FILTER (WHERE NOT is_read) AS writes, count(*) FILTER (WHERE is_read AND h) AS bcache_hits_r, count(*) FILTER (WHERE is_read AND NOT h) AS bcache_misses_r, "
+    "count(*) FILTER (WHERE NOT is_read AND h) AS bcache_hits_w, count(*) FILTER (WHERE NOT is_read AND NOT h) AS bcache_misses_w, count(*) FILTER (WHERE is_read AND NOT h AND NOT clean) AS compulsory_misses, "
+    "count(*) FILTER (WHERE is_read AND NOT h AND clean) AS capacity_misses, count(*) FILTER (WHERE clean) AS map_hits, count(*) FILTER (WHERE is_read AND NOT clean) AS map_misses, CAST(0 AS BIGINT) AS map_dirties, "
+    "count(*) FILTER (WHERE clean AND s) AS self_is_leader, count(*) FILTER (WHERE clean AND NOT s) AS self_not_leader, count(*) FILTER (WHERE clean AND s AND h) AS self_hits, count(*) FILTER (WHERE clean AND s AND NOT h) AS self_misses, "
+    "count(*) FILTER (WHERE clean AND NOT s AND h) AS dedup_hits, count(*) FILTER (WHERE clean AND NOT s AND NOT h) AS dedup_misses, count(*) FILTER (WHERE is_read AND NOT clean AND h) AS mapmiss_cachehits, "
+    "CAST(0 AS BIGINT) AS mapdirty_cachehits, count(*) FILTER (WHERE is_read AND NOT clean AND NOT h) AS mapmiss_cachemisses, "
+    + ", ".join(f"CAST(0 AS BIGINT) AS {n}" for n in "ccache_hits_r ccache_misses_r ccache_hits_w ccache_misses_w ccache_dedup_hits ccache_nondedup_hits ccache_dedup_misses ccache_nondedup_misses".split())
+    + ", count(*) FILTER (WHERE is_read AND NOT h) AS disk_reads, count(*) FILTER (WHERE NOT is_read) AS disk_writes"
+)
+
+
+def swept_sql(source: str, sizes: list[int], name: str, fixed: bool) -> str:
+    clean = "clean, key_vol = vol AND key_blk = blk AS s" if fixed else "CAST(NULL AS BOOLEAN) AS clean, CAST(NULL AS BOOLEAN) AS s"
+    return f"SELECT {name} AS config, '{'fixed' if fixed else 'plain'}' AS mode, is_read, coalesce(distance < c, false) AS h, {clean} FROM {source} CROSS JOIN (SELECT unnest({sizes}) AS c)"
+
+
 def configs() -> list[CacheConfig]:
-    out = [CacheConfig("plain", n) for n in CAPACITIES]
-    out += [CacheConfig("fixed", n, write_updates=w) for n in CAPACITIES for w in (False, True)]
-    out += [CacheConfig("fixed", 64, write_updates=True, intra_only=True)]
-    out += [CacheConfig("content", n, n * s // 4) for n in CAPACITIES for s in (1, 2, 3)]
-    return out
+    out = [CacheConfig("plain", n) for n in CAPACITIES] + [CacheConfig("plain", 64, writes=False), CacheConfig("plain", 64, iterations=2)]
+    return out + [CacheConfig("fixed", n, write_updates=True) for n in CAPACITIES] + [CacheConfig("fixed", 64, write_updates=True, intra_only=True)]
 
 
-@query()
+def machine_configs() -> list[CacheConfig]:
+    return [CacheConfig("fixed", n) for n in CAPACITIES] + [CacheConfig("content", n, n * s // 4) for n in CAPACITIES for s in (1, 2, 3)]
+
+
+TWICE = "w AS (SELECT seq, vol, blk, is_read FROM a UNION ALL SELECT seq + (SELECT max(seq) + 1 FROM a), vol, blk, is_read FROM a)"
+
+
+@query(
+    f"WITH {REDIRECTED}, {leaders_sql('AND d.vol = m.vol', '_i')}, {TWICE}, {distances_sql('a', 'vol, blk', '_p')}, {distances_sql('(SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, vol, blk, is_read FROM a WHERE is_read)', 'vol, blk', '_r')}, "
+    f"{distances_sql('w', 'vol, blk', '_w')}, {distances_sql('k', 'key_vol, key_blk', '_f')}, {distances_sql('k_i', 'key_vol, key_blk', '_fi')}, o AS ("
+    + " UNION ALL ".join([
+        swept_sql("u_p", CAPACITIES, "'plain-' || c", False), swept_sql("u_r", [64], "'plain-' || c || '-reads'", False), swept_sql("u_w", [64], "'plain-' || c || '-x2'", False),
+        swept_sql("u_f", CAPACITIES, "'fixed-' || c || '-w'", True), swept_sql("u_fi", [64], "'fixed-' || c || '-w-intra'", True),
+    ])
+    + f") SELECT config, mode, {COUNTERS} FROM o GROUP BY config, mode"
+)
 def mode_sweep(spark, sf_dir):
+    """Configurations whose outcomes follow from reuse distances, in one pass for each mode."""
     return sweep(consistent(spark, sf_dir), configs())
 
 
+@query()
+def machine_sweep(spark, sf_dir):
+    """Configurations whose maps depend on their cache: state machines, tested against a model of lists."""
+    return sweep(consistent(spark, sf_dir), machine_configs())
+
+
+SCANNED = (
+    LOG.replace("a AS (", "a0 AS (", 1).replace("FROM a GROUP BY vol)", "FROM a0 GROUP BY vol)")
+    + """, scan AS (SELECT vol, unnest(range(cap)) AS blk FROM caps),
+a AS (
+  SELECT row_number() OVER (ORDER BY vol, blk) - 1 AS seq, CAST(0 AS BIGINT) AS tick, vol, blk, true AS is_read, md5(CAST(blk % 40 AS VARCHAR)) AS content FROM scan
+  UNION ALL SELECT seq + (SELECT count(*) FROM scan), tick, vol, blk, is_read, content FROM a0)"""
+)
+
+
+@query(
+    f"WITH {(REDIRECTED).replace(LOG, SCANNED, 1)}, n AS (SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, vol, blk, is_read, clean, key_vol, key_blk FROM k WHERE seq >= (SELECT count(*) FROM scan)), {distances_sql('n', 'key_vol, key_blk')}, "
+    f"o AS ({swept_sql('u', CAPACITIES, chr(39) + 'fixed-' + chr(39) + ' || c || ' + chr(39) + '-w' + chr(39), True)}) SELECT config, mode, {COUNTERS} FROM o GROUP BY config, mode"
+)
+def scan_then_replay(spark, sf_dir):
+    """A scan of all volumes fills the maps before the log is replayed; its contents are made up, a read of the log finds what the scan found."""
+    a = log(spark, sf_dir)
+    caps = V.capacities(a)
+    blocks = caps.select("vol", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cap") - 1)).alias("blk"))
+    scan = with_seq(blocks, F.col("vol"), F.col("blk")).select("seq", F.lit(0).cast("bigint").alias("at"), "vol", "blk", F.lit(True).alias("is_read"), F.md5((F.col("blk") % CONTENTS).cast("string")).alias("content"))
+    both = M.disk_view(V.to_physical(R.with_warmup(scan, a), V.place(caps))).drop("trace_content", "was_inconsistent")
+    return sweep(both, [CacheConfig("fixed", n, write_updates=True) for n in CAPACITIES])
+
+
 @query()
 def content_mode_counters(spark, sf_dir):
     return sweep(consistent(spark, sf_dir), [CacheConfig("content", 128, 64)])
@@ -418,21 +469,11 @@ def leader_content_check(spark, sf_dir):
     return M.leader_content(led, a).select("seq", "content", "lead_content")
 
 
-@query(
-    f"WITH {LOG}, b AS (SELECT vol, blk, max(seq) AS seen FROM a WHERE blk % 5 <> 0 GROUP BY vol, blk), n AS (SELECT *, lag(blk) OVER w AS pb, lag(seen) OVER w AS ps, lead(blk) OVER w AS nb, lead(seen) OVER w AS ns FROM b WINDOW w AS (PARTITION BY vol ORDER BY blk)) "
-    "SELECT vol, blk, seen, CASE WHEN pb = blk - 1 THEN ps END AS prev_seen, CASE WHEN nb = blk + 1 THEN ns END AS next_seen FROM n"
-)
-def block_neighbours(spark, sf_dir):
-    b = log(spark, sf_dir).where("blk % 5 <> 0").groupBy("vol", "blk").agg(F.max("seq").alias("seen"))
-    return M.neighbours(b, ("seen",))
-
-
 @query(
     f"WITH {LOG}, b AS (SELECT vol, blk, max(seq) AS seen FROM a GROUP BY vol, blk), n AS (SELECT *, lag(blk) OVER w AS pb, lag(seen) OVER w AS ps, lead(blk) OVER w AS nb, lead(seen) OVER w AS ns FROM b WINDOW w AS (PARTITION BY vol ORDER BY blk)) "
     "SELECT vol, blk, seen, CASE WHEN pb = blk - 1 THEN ps END AS prev_seen, CASE WHEN nb = blk + 1 THEN ns END AS next_seen FROM n"
 )
-def all_block_neighbours(spark, sf_dir):
-    """Every block of the log; block_neighbours and its twin leave out blocks divisible by 5."""
+def block_neighbours(spark, sf_dir):
     return M.neighbours(log(spark, sf_dir).groupBy("vol", "blk").agg(F.max("seq").alias("seen")), ("seen",))
 
 
@@ -450,11 +491,8 @@ def time_inversions(spark, sf_dir):
     return R.inversions(e.select(F.col("event_id").alias("seq"), (F.col("user_id") % VOLUMES).cast("int").alias("vol"), F.floor(F.col("value") * 100).cast("bigint").alias("at")))
 
 
-TWICE = ", w AS (SELECT seq, vol, blk, is_read FROM a UNION ALL SELECT seq + (SELECT max(seq) + 1 FROM a), vol, blk, is_read FROM a)"
-
-
 @query(
-    f"WITH {LOG}{TWICE}, {distances_sql('w', 'vol, blk')} SELECT count(*) FILTER (WHERE is_read) AS reads, count(*) FILTER (WHERE is_read AND coalesce(distance < 64, false)) AS hits "
+    f"WITH {LOG}, {TWICE}, {distances_sql('w', 'vol, blk')} SELECT count(*) FILTER (WHERE is_read) AS reads, count(*) FILTER (WHERE is_read AND coalesce(distance < 64, false)) AS hits "
     "FROM u WHERE seq > (SELECT max(seq) FROM a)"
 )
 def second_iteration(spark, sf_dir):

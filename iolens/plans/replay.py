@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from dataclasses import replace
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,11 @@ from pyspark.sql.types import StructType
 
 from ..functions.rabin import ChunkRule, chunk_block
 from ..model import CacheConfig
+from ..operators.metadata import disk_view, redirected
 from ..operators.policies import Arc, Lru
+from ..operators.requests import enabled
+from ..operators.reuse import reuse_distances
+from ..operators.sequence import dense, kept, with_seq
 
 OUTCOME_DDL = (
     "config string, mode string, seq bigint, vol int, blk bigint, ioblk bigint, is_read boolean, is_warmup boolean, key bigint, hit boolean, meta string, self boolean, "
@@ -26,10 +32,6 @@ OUTCOME_DDL = (
 )
 
 
-class Outcome(dict):
-    """What became of an access; absent entries are null."""
-
-
 class Plain:
     def __init__(self, c: CacheConfig):
         self.c, self.lru = c, Lru(c.cache_blocks)
@@ -234,14 +236,18 @@ def replay(rows, config: CacheConfig, machine=None) -> Iterator[dict]:
         yield {"seq": seq, "vol": vol, "blk": blk, "ioblk": ioblk, "is_read": is_read, "is_warmup": warm} | got
 
 
+def _by_name(configs: list[CacheConfig]) -> list[CacheConfig]:
+    return list({c.name: c for c in configs}.values())
+
+
 def simulate(accesses: DataFrame, configs: list[CacheConfig], partitions: int | None = None) -> DataFrame:
     """Outcomes of every configuration over one log (seq, vol, blk, ioblk, is_read, content; is_warmup optional).
 
     Each configuration is a task of its own: the log is replicated to them by hash and sorted by ``seq`` with spilling. No row of a log is held longer than its batch.
+    The accesses of a second iteration are numbered on from the log's last; warm-up accesses are not repeated. Equal configurations count once.
     """
-    warm = F.coalesce("is_warmup", F.lit(False)) if "is_warmup" in accesses.columns else F.lit(False)
-    rows = accesses.select("seq", "vol", "blk", "ioblk", "is_read", "content", warm.alias("is_warmup"))
-    rows = rows.withColumn("config", F.explode(F.array(*(F.lit(i) for i in range(len(configs))))))
+    configs = _by_name(configs)
+    rows = repeated_by(_prepared(accesses).withColumn("config", F.explode(F.array(*(F.lit(i) for i in range(len(configs)))))), [c.iterations for c in configs])
     packed = pickle.dumps(configs)
     arrow = to_arrow_schema(StructType.fromDDL(OUTCOME_DDL))
 
@@ -270,11 +276,66 @@ def simulate(accesses: DataFrame, configs: list[CacheConfig], partitions: int |
     return spread.mapInArrow(run, OUTCOME_DDL)
 
 
+def _prepared(accesses: DataFrame) -> DataFrame:
+    warm = F.coalesce("is_warmup", F.lit(False)) if "is_warmup" in accesses.columns else F.lit(False)
+    return accesses.select("seq", "vol", "blk", "ioblk", "is_read", "content", warm.alias("is_warmup"))
+
+
+def repeated_by(rows: DataFrame, times: list[int]) -> DataFrame:
+    """``rows`` with ``config``, the index of a number of ``times`` that their log is to come in a row."""
+    if max(times, default=1) == 1:
+        return rows
+    n = (rows.agg(F.max("seq")).first()[0] or 0) + 1
+    last = F.when(F.col("is_warmup"), F.lit(0)).otherwise(F.element_at(F.array(*map(F.lit, times)), F.col("config") + 1) - 1)
+    rows = rows.withColumn("__round", F.explode(F.sequence(F.lit(0), last)))
+    return rows.withColumn("seq", F.col("seq") + F.col("__round") * n).drop("__round")
+
+
+def has_plan(c: CacheConfig) -> bool:
+    """Whether outcomes follow from reuse distances: in plain mode, and in fixed mode where every write maps its block, so that the maps do not depend on the cache."""
+    return c.mode == "plain" or c.mode == "fixed" and c.updates
+
+
+def planned_outcomes(accesses: DataFrame, configs: list[CacheConfig]) -> DataFrame:
+    """What :func:`simulate` says of configurations that have a plan, as DataFrame operations: (config, mode, seq, vol, blk, is_read, is_warmup, hit, meta, self, disk).
+
+    Configurations that differ only in the memory's size share one pass of reuse distances. Warm-up accesses are left out, having taught the maps.
+    """
+    groups: dict[CacheConfig, list[CacheConfig]] = {}
+    for c in _by_name(configs):
+        groups.setdefault(replace(c, ram_blocks=1), []).append(c)
+    out = []
+    for like, some in groups.items():
+        rows = enabled(_prepared(accesses), like.reads, like.writes)
+        if like.iterations > 1:
+            rows = repeated_by(rows.withColumn("config", F.lit(0)), [like.iterations]).drop("config")
+        if like.mode == "fixed":
+            # a mapped block is led by what it was mapped to, whatever the log says that a read found
+            rows = redirected(disk_view(rows).drop("trace_content", "was_inconsistent"), like.intra_only)
+            meta = F.when(F.col("is_read"), F.when(F.col("clean"), "clean").otherwise("absent"))
+            rows = rows.withColumns({"meta": meta, "self": F.col("self_leader")})
+            key = ("key_vol", "key_blk")
+        else:
+            rows = rows.withColumns({"meta": F.lit(None).cast("string"), "self": F.lit(None).cast("boolean")})
+            key = ("vol", "blk")
+        rows = rows.select("seq", "vol", "blk", "is_read", "meta", "self", *(k for k in key if k not in ("vol", "blk")), "is_warmup").where("not is_warmup")
+        if "is_warmup" in accesses.columns or not (like.reads and like.writes):
+            rows = dense(rows)
+        rows = reuse_distances(rows, key)
+        sizes = F.explode(F.array(*(F.struct(F.lit(c.name).alias("config"), F.lit(c.ram_blocks).cast("bigint").alias("ram")) for c in some)))
+        rows = rows.withColumn("c", sizes).withColumn("hit", F.coalesce(F.col("distance") < F.col("c.ram"), F.lit(False)))
+        out.append(rows.select("c.config", F.lit(like.mode).alias("mode"), "seq", "vol", "blk", "is_read", "is_warmup", "hit", "meta", "self", (~F.col("is_read") | ~F.col("hit")).alias("disk")))
+    return reduce(DataFrame.union, out)
+
+
 def sweep(accesses: DataFrame, configs: list[CacheConfig]) -> DataFrame:
-    """A row of counters for each configuration."""
+    """A row of counters for each configuration: those that have a plan by it, the others by their machines."""
     from ..operators.counters import counters
 
-    return counters(simulate(accesses, configs), ("config", "mode"))
+    planned, others = ([c for c in configs if has_plan(c) == p] for p in (True, False))
+    accesses = kept(accesses) if planned and others else accesses
+    parts = ([planned_outcomes(accesses, planned)] if planned else []) + ([simulate(accesses, others)] if others else [])
+    return reduce(DataFrame.unionByName, [counters(p, ("config", "mode")) for p in parts])
 
 
 def snapshot(spark: SparkSession, accesses: DataFrame, path: str) -> None:
@@ -285,3 +346,13 @@ def snapshot(spark: SparkSession, accesses: DataFrame, path: str) -> None:
     live.select("vol", "blk", "content", "from_seq").write.mode("overwrite").parquet(f"{path}/block_map")
     lead = F.max_by(F.struct("vol", "blk"), "from_seq")
     live.groupBy("content").agg(lead.alias("leader"), F.count("*").alias("blocks")).write.mode("overwrite").parquet(f"{path}/content_map")
+
+
+def loaded(spark: SparkSession, path: str) -> DataFrame:
+    """The block map that :func:`snapshot` wrote as accesses (seq, vol, blk, ioblk, is_read, content) that map it again, leaders last.
+
+    Put in front of a log by ``requests.with_warmup``, a replay starts from the maps of the dump with an empty cache.
+    """
+    rows = spark.read.parquet(f"{path}/block_map").withColumnsRenamed({"from_seq": "__from"})
+    rows = with_seq(rows, F.col("__from"), F.col("vol"), F.col("blk")).drop("__from")
+    return rows.select("seq", "vol", "blk", F.col("ioblk") if "ioblk" in rows.columns else F.lit(None).cast("bigint").alias("ioblk"), F.lit(True).alias("is_read"), "content")

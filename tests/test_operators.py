@@ -22,8 +22,8 @@ def test_sequence_over_ranges(spark):
     rng = random.Random(1)
     rows = [(rng.choice([None, *range(30)]), i) for i in range(500)]
     df = spark.createDataFrame(rows, "t long, i long").repartition(5)
-    for per in (1_000_000, 40):
-        got = with_seq(df, F.col("t"), F.col("i"), rows_per_range=per).orderBy("seq").collect()
+    for parts in (None, 1, 13):
+        got = with_seq(df, F.col("t"), F.col("i"), partitions=parts).orderBy("seq").collect()
         assert [r.seq for r in got] == list(range(500))
         assert [(r.t, r.i) for r in got] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert with_seq(df.limit(0), F.col("t")).count() == 0
@@ -87,6 +87,17 @@ def test_bunches(spark):
     df = spark.createDataFrame([(0, i, t) for i, t in enumerate(times)], "vol int, seq long, at long")
     got = P.bunches(df, size=8, ns=10).orderBy("seq").collect()
     assert [r.bunch for r in got] == [0] * 8 + [8, 8, 10, 10, 12]
+    rng = random.Random(3)
+    for ns in (3, 50):
+        rows = [(v, 1000 * v + i, t) for v in range(3) for i, t in enumerate(sorted(rng.choices(range(400), k=150)))]
+        df2, want, now = spark.createDataFrame(rows, "vol int, seq long, at long"), {}, None
+        for v, q, t in rows:
+            if now is None or now[0] != v or now[3] >= 8 or t - now[2] > ns:
+                now = [v, q, t, 0]
+            now[3] += 1
+            want[q] = now[1]
+        for span in (8, 20, 1 << 16):
+            assert {r.seq: r.bunch for r in P.bunches(df2, size=8, ns=ns, span=span).collect()} == want
     with pytest.raises(Exception, match="before its predecessor"):
         P.bunches(spark.createDataFrame([(0, 0, 5), (0, 1, 4)], "vol int, seq long, at long")).collect()
     assert P.bunches(df.limit(0)).count() == 0
@@ -134,3 +145,43 @@ def test_stretches(spark):
             assert r.s == sum(x[2] or 0 for x in rows if x[1] == r.k and x[0] <= r.seq)
         for r in running_sum(df, (), {"s": F.coalesce("v", F.lit(0))}, ("seq", "k"), span=span).collect():
             assert r.s == sum(x[2] or 0 for x in rows if x[:2] <= (r.seq, r.k))
+
+
+def test_overlaps_of_all_sizes(spark):
+    rng = random.Random(11)
+    rows = [(i, rng.choice([1, 2, 3, 7, 64, 65, 900, 40_000]), rng.randrange(60_000)) for i in range(150)]
+    want = {(a, b, max(x, y), min(x + c, y + d) - 1) for a, c, x in rows for b, d, y in rows if a < b and x < y + d and y < x + c}
+    got = [tuple(r) for r in V.overlaps(spark.createDataFrame(rows, "vol int, cap long, base long")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_latest_live_interval(spark):
+    """One content, hot or not, in stretches of 8 places: against all intervals."""
+    from iolens.operators.live import latest_live
+
+    rng = random.Random(12)
+    maps, asks = [], []
+    for seq in range(400):
+        key = rng.choice("aaab")
+        if rng.random() < 0.5:
+            asks.append((seq, key))
+        else:
+            maps.append((key, seq, rng.randrange(9), rng.choice([None, seq + rng.randrange(1, 30), seq + rng.randrange(1, 300)])))
+    m = spark.createDataFrame([(k, (s, b, e)) for k, s, b, e in maps], "content string, m struct<seq: long, blk: long, end: long>")
+    q = spark.createDataFrame(asks, "seq long, content string")
+    want = {s: max(((f, b) for k, f, b, e in maps if k == c and f < s and (e is None or e > s)), default=None) for s, c in asks}
+    for span in (8, 64, 1 << 18):
+        assert {r.seq: r.o and (r.o.seq, r.o.blk) for r in latest_live(q, m, ("content",), span).collect()} == want
+    assert latest_live(q.limit(0), m, ("content",)).count() == 0 and latest_live(q, m.limit(0), ("content",)).where("o is not null").count() == 0
+
+
+def test_hot_rows_spread_over_stretches(spark):
+    """One volume, block and content with half the log: no window or group holds more than a stretch of it."""
+    import re
+
+    rows = spark.range(4000).select(F.col("id").alias("seq"), F.lit(0).alias("vol"), F.when(F.col("id") % 2 == 0, 5).otherwise(F.col("id")).alias("blk"), (F.col("id") % 3 != 0).alias("is_read"), F.lit("c").alias("content"), F.col("id").alias("at"))
+    for df in (M.disk_view(rows), M.touches(rows), M.map_intervals(rows), M.mapped_state(rows), R.scan_layout(rows), R.inversions(rows), V.capacity_over_time(rows)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        # windows that read rows, not one row a stretch, are dealt out by the stretch too
+        for over in re.findall(r"Window \[.*?\], \[([^\]]*)\], \[__(?!s#)", plan):
+            assert "__s#" in over

@@ -40,14 +40,14 @@ def test_long_texts_are_stitched(spark):
     """Documents of more than 4096 characters are in the result, with their own digest."""
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert sum(len(t or "") > 4096 for t in docs.values()) > 20
-    got = {r.seq: r.content for r in QUERIES["stitched_all_texts"](spark, SF).collect()}
+    got = {r.seq: r.content for r in QUERIES["stitched_texts"](spark, SF).collect()}
     assert got == {i: hashlib.md5(t.encode()).hexdigest() for i, t in docs.items() if t}
 
 
 def test_neighbours_of_all_blocks(spark):
     """Every block of the log has a row, also those divisible by 5, and meets its neighbours."""
     seen = {(r.vol, r.blk): r.seen for r in log(spark, SF).groupBy("vol", "blk").agg(F.max("seq").alias("seen")).collect()}
-    got = {(r.vol, r.blk): (r.seen, r.prev_seen, r.next_seen) for r in QUERIES["all_block_neighbours"](spark, SF).collect()}
+    got = {(r.vol, r.blk): (r.seen, r.prev_seen, r.next_seen) for r in QUERIES["block_neighbours"](spark, SF).collect()}
     assert any(b % 5 == 0 for _, b in got)
     assert got == {(v, b): (s, seen.get((v, b - 1)), seen.get((v, b + 1))) for (v, b), s in seen.items()}
 

@@ -11,7 +11,8 @@ from iolens.operators import counters as C
 from iolens.operators import metadata as M
 from iolens.operators import reuse as U
 from iolens.operators.policies import Arc, Lru
-from iolens.plans.replay import Chunked, replay, simulate, snapshot, sweep
+from iolens.operators.requests import with_warmup
+from iolens.plans.replay import Chunked, Fixed, has_plan, loaded, planned_outcomes, replay, simulate, snapshot, sweep
 
 
 class ListLru:
@@ -185,6 +186,11 @@ def test_machines_follow_the_model(config):
         assert got == list(plain_model(rows, config))
 
 
+def test_names_tell_configurations_apart():
+    kinds = [CacheConfig(m, 8, 4 if m == "content" else 0, w, i, reads=r, writes=x, iterations=n) for m in ("plain", "fixed", "content", "chunk") for w in (False, True) for i in ((False, True) if m == "fixed" else (False,)) for r, x in ((True, True), (True, False), (False, True)) for n in (1, 2)]
+    assert len({c.name for c in kinds}) == len(kinds) - 6  # in plain mode updates of maps mean nothing
+
+
 ROW = "seq bigint, vol int, blk bigint, ioblk bigint, is_read boolean, content string, is_warmup boolean"
 
 
@@ -199,6 +205,45 @@ def test_sweep_and_invariants(spark):
     assert C.broken_invariants(wrong, "fixed").count() > 0
 
 
+def test_reads_writes_and_iterations_are_configurations(spark):
+    rows = log(6, 300)
+    df = spark.createDataFrame(rows, ROW)
+    some = [CacheConfig(m, 12, 5 if m == "content" else 0, **kw) for m in ("plain", "fixed", "content") for kw in ({}, {"writes": False}, {"reads": False}, {"iterations": 3})]
+    some += [CacheConfig("fixed", 12, write_updates=True, **kw) for kw in ({}, {"writes": False}, {"iterations": 3})]
+    got = {r.config: r for r in sweep(df, some + some).collect()}
+    assert len(got) == len(some)
+    n = sum(r[4] for r in rows)
+    for c in some:
+        mine = [(i * 300 + r[0], *r[1:]) for i in range(c.iterations) for r in rows]
+        out = list(replay(mine, c))
+        r = got[c.name]
+        assert (r.reads, r.writes) == (c.reads * c.iterations * n, c.writes * c.iterations * (300 - n))
+        assert (r.bcache_hits_r, r.bcache_hits_w) == tuple(sum(o["hit"] for o in out if o["is_read"] == k) for k in (True, False))
+        assert C.broken_invariants(sweep(df, [c]), c.mode).count() == 0
+
+
+def test_plans_equal_the_machines(spark):
+    rows = [(*r[:6], r[0] < 80) for r in log(10, 500)]
+    df = spark.createDataFrame(rows, ROW)
+    some = [CacheConfig("plain", 9), CacheConfig("fixed", 9, write_updates=True), CacheConfig("fixed", 9, write_updates=True, intra_only=True), CacheConfig("plain", 9, writes=False), CacheConfig("fixed", 20, write_updates=True, iterations=2)]
+    by = lambda d: {tuple(r) for r in C.counters(d, ("config", "mode")).collect()}
+    assert all(map(has_plan, some)) and by(planned_outcomes(df, some)) == by(simulate(df, some))
+
+
+def test_replay_from_a_dump(spark, tmp_path):
+    """Maps written after one log and loaded before another: as if both were one, with a cold cache in between."""
+    first, second = log(13, 200), [(r[0], r[1], r[2], r[3], False if i < 40 else r[4], r[5], False) for i, r in enumerate(log(14, 200))]
+    snapshot(spark, spark.createDataFrame(first, ROW), str(tmp_path))
+    back = loaded(spark, str(tmp_path)).withColumn("ioblk", F.col("vol") * 100 + F.col("blk"))
+    both = with_warmup(back, spark.createDataFrame(second, ROW).drop("is_warmup"))
+    config = CacheConfig("fixed", 12, write_updates=True)
+    machine = Fixed(config)
+    list(replay([(*r[:6], True) for r in first], config, machine))
+    want = [(o["key"], o["hit"]) for o in replay(second, config, machine)]
+    got = simulate(both, [config]).where("not is_warmup").orderBy("seq").collect()
+    assert [(r.key, r.hit) for r in got] == want
+
+
 def test_plan_of_fixed_mode_equals_the_machine(spark):
     for intra in (False, True):
         df = spark.createDataFrame(log(8, 900), ROW)
