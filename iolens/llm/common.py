@@ -71,10 +71,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of :func:`saved` that nothing will read again."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`saved` that nothing will read again."""
+    for df in tables:
+        delete(df.sparkSession, df._saved_at)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -2,12 +2,12 @@
 
 A model holds, for each language of the labelled rows, smoothed log frequencies of the letter 1- to 3-grams of words (hashed to a fixed
 number of buckets) and the scripts its letters belong to. A word's scores are the sums over its n-grams; languages never seen with the script of
-the word's first letter are out. A text is then labelled word by word with the sequence of languages whose summed scores, less
+most of the word's letters are out. A text is then labelled word by word with the sequence of languages whose summed scores, less
 a penalty for each change of language, are highest. Texts whose best single language no stretch of words argues against by more than the
 penalty need no Viterbi pass: one running minimum shows that their path never leaves it.
 
-The model is fitted on at most ``sample_rows`` labelled rows (a documented bound: rows are chosen by a hash of their id, whole
-texts are used); its size depends on buckets and languages only, so it is small enough to travel with the tasks. Predictions read whole texts.
+The model is fitted on about ``sample_rows`` different labelled rows at most (a documented bound: rows are chosen by a hash, whole texts are used) and on their MOST_LANGUAGES most frequent
+labels; its size depends on buckets and languages only, so it is small enough to be broadcast. Predictions read whole texts.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, map_rows
+from .common import bound_batches, discard, map_rows, sampled, saved
 
 BUCKETS = 1 << 15
 SAMPLE_ROWS = 20_000
+#: Labels that are learnt, at most: a column of odd labels cannot make the model large.
+MOST_LANGUAGES = 256
 #: A change of language costs as much as this difference in log likelihood.
 SWITCH = 12.0
 SMOOTHING = 0.05
@@ -85,9 +87,10 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     three = (((h[:-2] + np.uint64(11)) * np.uint64(0x94D049BB133111EB)) ^ h[1:-1]) * np.uint64(0xBF58476D1CE4E5B9) ^ h[2:]
     out[:, 2] = np.where(ok[1:-1] & (ok[:-2] | ok[2:]), mix(three), -1)
     n = np.add.reduceat(is_letter.astype(np.int64), first) if len(words) else np.zeros(0, np.int64)
-    at = np.where(is_letter, np.arange(len(code)), len(code))
-    lead = np.minimum.reduceat(at, first) if len(words) else np.zeros(0, np.int64)
-    return out, first, n, np.where(n > 0, script[code[np.minimum(lead, len(code) - 1)]].astype(np.int64), -1)
+    # letters by word and script: the script of most of them, of equals the first by name
+    word, kinds = np.repeat(np.arange(len(words)), size), len(SCRIPT_NAMES)
+    held = np.bincount(word[is_letter] * kinds + script[code[is_letter]], minlength=len(words) * kinds).reshape(len(words), kinds)
+    return out, first, n, np.where(n > 0, held.argmax(1), -1)
 
 
 def words_of(text: str) -> list[str]:
@@ -240,15 +243,12 @@ def spans(path: np.ndarray, letters: np.ndarray, languages: list[str]) -> list[d
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, switch: float = SWITCH, tasks: int = 8) -> Model:
-    """A model of rows with a text and a language, from at most about ``sample_rows`` of them, chosen by a hash of their id.
+    """A model of rows with a text and a language, from about ``sample_rows`` different ones at most, chosen by a hash of id, text and label.
 
     What reaches the driver are sums by language and bucket. Without any row the model has no language and labels everything ``und``.
     """
     df = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    df = df.where("text is not null and lang is not null")
-    rows = df.count()
-    if rows > sample_rows:
-        df = df.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * sample_rows / rows))
+    df = sampled(df.where("text is not null and lang is not null"), sample_rows)
     bound_batches(df.sparkSession)
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.float64())])
 
@@ -274,7 +274,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             on = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(on), pa.string()), pa.array(on, pa.int32()), pa.array(total[on])], schema=schema)
 
-    sums = df.select("text", "lang").repartition(tasks).mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = saved(df.select("text", "lang").repartition(tasks).mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "languages")
+    most = sums.where(F.col("bucket") >= BUCKETS).groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    learnt = [r["lang"] for r in most.collect()]
+    table, sums = sums, sums.where(F.col("lang").isin(learnt)).toArrow()
+    discard(table)
     languages = sorted(set(sums["lang"].to_pylist()))
     counts = np.zeros((BUCKETS + len(SCRIPT_NAMES), len(languages)))
     number = {x: i for i, x in enumerate(languages)}
@@ -299,12 +303,15 @@ def identify(df: DataFrame, model: Model, keep: dict[str, Column] | None = None,
     if with_fit:
         ddl += ", known double, fit double"
 
+    sent = df.sparkSession.sparkContext.broadcast(model)  # buckets x languages, both bounded
+
     def start():
-        lab = Labeller(model)
+        lab = Labeller(sent.value)
 
         def batch(*cols):
             texts = [words_of(t) if t else [] for t in cols[-1]]
             got = lab.predict(texts)
+            model = lab.m
             out = [*cols[:-1], [g[0] for g in got], [g[1] for g in got]]
             if with_spans:
                 out.append([spans(p, n, model.languages) for p, n, _ in lab.paths(texts)] if model.languages else [[] for _ in texts])

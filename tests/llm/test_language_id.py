@@ -1,5 +1,6 @@
 import itertools
 import random
+import zlib
 
 import numpy as np
 from hypothesis import given, settings
@@ -7,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from iolens.llm import language_id as L
+from iolens.llm import queries as Q
 
 
 @settings(max_examples=200, deadline=None)
@@ -53,3 +55,20 @@ def test_fit_and_label(spark):
 
 def test_scripts():
     assert [L.script_of(c) for c in "aéжλ中かあ한ع"] == ["Latin", "Latin", "Cyrillic", "Greek", "Han", "Kana", "Kana", "Hangul", "Arabic"]
+
+
+def test_registered_query_on_held_out_rows(spark):
+    """Over the whole table: all rows, the held-out ones as defined, nine in ten of their languages right."""
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = Q.op8_language_id(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
+    some = [r.lang_pred == docs[r.doc_id].lang for r in got if r.held_out and docs[r.doc_id].lang is not None and docs[r.doc_id].text]
+    assert len(some) > 100 and sum(some) > 0.9 * len(some)
+
+
+def test_odd_labels_and_scripts(spark):
+    rows = [(i, "the and of", f"odd{i}") for i in range(L.MOST_LANGUAGES + 40)] + [(1000 + i, "the and of those " * 9, "xx") for i in range(20)]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == L.MOST_LANGUAGES and "xx" in model.languages
+    assert [L.SCRIPT_NAMES[k] if k >= 0 else None for k in L.grams(["aжжж", "aaж", "12", "中"])[3]] == ["Cyrillic", "Latin", None, "Han"]
