@@ -46,32 +46,42 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Two crawls of the pages: a full response each, a minute apart, and a day later a 304 answer at another spelling of the URL.
+    """Crawls of the pages: up to three responses each, minutes apart or most of a day, and after a day a 304 answer at another spelling of the URL.
 
-    One page in seven has changed its entity tag meanwhile; one in five answers without a tag, by its modification time.
+    The first response is a 404 answer for one page in three, the last fails for three in four, so that the latest full one is now this, now that. One answer in five
+    has no entity tag and goes by its modification time, which one last response in eight does not have; some tags are of another version.
     """
     html = F.coalesce("html", F.lit(""))
-    n, tag = F.col("page_id"), F.concat(F.lit('"'), F.substring(F.md5(html), 1, 8), F.lit('"'))
-    text = lambda c: c.cast("string")
-    base = pages.select("page_id", "url", F.md5(html).alias("digest"), F.octet_length(html).cast("bigint").alias("n_bytes"), tag.alias("tag"))
-    first = base.select(
-        F.concat(F.lit("r"), n).alias("record_id"), F.lit("response").alias("warc_type"), F.col("url").alias("uri"), (n * 60).alias("at"), F.lit(200).alias("status"),
+    n, text = F.col("page_id"), lambda c: c.cast("string")
+    tag = lambda digest: F.concat(F.lit('"'), F.substring(digest, 1, 8), F.lit('"'))
+
+    def response(name: str, digest, at, status, modified):
+        fields = {"cache-control": F.lit("max-age=60"), "content-length": text(F.octet_length(html)), "content-type": F.lit("text/html"), "date": text(at), "etag": tag(digest), "last-modified": modified}
+        headers = F.map_filter(F.create_map(*(x for k, v in fields.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
+        return F.struct(
+            F.concat(F.lit(name), n).alias("record_id"), F.lit("response").alias("warc_type"), F.col("url").alias("uri"), at.alias("at"), status.alias("status"),
+            headers.alias("headers"), digest.alias("digest"), F.octet_length(html).cast("bigint").alias("n_bytes"),
+        )
+
+    when = n * 60 + 86_400
+    first, second, third = F.md5(F.concat(html, F.lit("0"))), F.md5(html), F.md5(F.concat(html, F.lit("2")))
+    mine = F.when(n % 5 == 0, F.lit(None)).when(n % 7 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), F.when(n % 4 == 0, tag(third)).otherwise(tag(second))))
+    asked = F.map_filter(
         F.create_map(
-            F.lit("cache-control"), F.lit("max-age=60"), F.lit("content-length"), text(F.col("n_bytes")), F.lit("content-type"), F.lit("text/html"), F.lit("date"), text(n * 60),
-            F.lit("etag"), F.col("tag"), F.lit("last-modified"), text(n % 1000),
-        ).alias("headers"), "digest", "n_bytes",
+            F.lit("cache-control"), F.lit("max-age=600"), F.lit("content-length"), F.lit("0"), F.lit("date"), text(when), F.lit("x-cache"), F.lit("HIT"), F.lit("etag"), mine, F.lit("last-modified"), text(n % 1000)
+        ), lambda k, v: v.isNotNull(),
     )
-    when = n * 60 + 86_400
-    second = base.select(
+    revisit = F.struct(
         F.concat(F.lit("n"), n).alias("record_id"), F.lit("revisit").alias("warc_type"), F.concat(F.col("url"), F.lit("#again")).alias("uri"), when.alias("at"), F.lit(304).alias("status"),
-        F.map_filter(
-            F.create_map(
-                F.lit("cache-control"), F.lit("max-age=600"), F.lit("content-length"), F.lit("0"), F.lit("date"), text(when), F.lit("x-cache"), F.lit("HIT"),
-                F.lit("etag"), F.when(n % 5 == 0, F.lit(None)).when(n % 7 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), F.col("tag"))), F.lit("last-modified"), text(n % 1000),
-            ), lambda k, v: v.isNotNull(),
-        ).alias("headers"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("bigint").alias("n_bytes"),
+        asked.alias("headers"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("bigint").alias("n_bytes"),
     )
-    return first.unionByName(second)
+    rows = F.array(
+        response("q", first, n * 60 - 900, F.when(n % 3 == 1, 404).otherwise(200), text(n % 1000)),
+        response("r", second, n * 60, F.lit(200), text(n % 1000)),
+        response("s", third, n * 60 + 80_000, F.when(n % 4 == 0, 200).otherwise(503), F.when(n % 8 != 0, text(n % 1000))),
+        revisit,
+    )
+    return pages.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +91,7 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same in SQL: captures, canonical URLs, the latest earlier response, validators, merged headers.
 OP6_SQL = r"""
 WITH base AS (
-  SELECT page_id n, url, md5(coalesce(html, '')) digest, strlen(coalesce(html, '')) n_bytes, '"' || substr(md5(coalesce(html, '')), 1, 8) || '"' tag FROM pages
+  SELECT page_id n, url, coalesce(html, '') html FROM pages
 ), parts AS (
   SELECT *, regexp_replace(trim(url), '#.*$', '') u FROM base
 ), heads AS (
@@ -93,14 +103,22 @@ WITH base AS (
 ), listed AS (
   SELECT *, list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*[?](.*)$', 1), '&'), lambda p : p <> '' AND NOT regexp_matches(p, '^(?i)(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)'))) params FROM cut
 ), canon AS (
-  SELECT n, url, digest, n_bytes, tag, CASE WHEN head = '' THEN u ELSE host || regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '')
+  SELECT n, url, html, strlen(html) n_bytes, CASE WHEN head = '' THEN u ELSE host || regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '')
     || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canonical FROM listed
+), versions AS (
+  SELECT canonical, n * 60 - 900 AS t, 'q' || n AS id, md5(html || '0') AS digest, n_bytes, n % 1000 AS modified FROM canon WHERE n % 3 <> 1
+  UNION ALL SELECT canonical, n * 60, 'r' || n, md5(html), n_bytes, n % 1000 FROM canon
+  UNION ALL SELECT canonical, n * 60 + 80000, 's' || n, md5(html || '2'), n_bytes, CASE WHEN n % 8 <> 0 THEN n % 1000 END FROM canon WHERE n % 4 = 0
+), full_ AS (
+  SELECT *, '"' || substr(digest, 1, 8) || '"' AS tag FROM versions
+), asked AS (
+  SELECT *, CASE WHEN n % 5 = 0 THEN NULL WHEN n % 7 = 0 THEN '"other"' ELSE '"' || substr(md5(html || CASE WHEN n % 4 = 0 THEN '2' ELSE '' END), 1, 8) || '"' END AS mine FROM canon
 ), met AS (
-  SELECT a.n, a.url, a.canonical, a.tag, CASE WHEN a.n % 5 = 0 THEN NULL WHEN a.n % 7 = 0 THEN '"other"' ELSE a.tag END AS mine,
-    max(struct_pack(t := b.n * 60, id := 'r' || b.n, n := b.n, digest := b.digest, n_bytes := b.n_bytes, tag := b.tag)) was
-  FROM canon a LEFT JOIN canon b ON a.canonical = b.canonical AND b.n * 60 < a.n * 60 + 86400 GROUP BY ALL
+  SELECT a.n, a.url, a.canonical, a.mine, max(struct_pack(t := b.t, id := b.id, digest := b.digest, n_bytes := b.n_bytes, tag := b.tag, modified := b.modified)) was
+  FROM asked a LEFT JOIN full_ b ON a.canonical = b.canonical AND b.t < a.n * 60 + 86400 GROUP BY ALL
 ), judged AS (
-  SELECT *, CASE WHEN was IS NULL THEN 'no response' WHEN CASE WHEN mine IS NOT NULL THEN mine = was.tag ELSE n % 1000 = was.n % 1000 END THEN 'resolved' ELSE 'changed' END AS outcome FROM met
+  SELECT *, CASE WHEN was IS NULL THEN 'no response' WHEN mine IS NOT NULL THEN CASE WHEN mine = was.tag THEN 'resolved' ELSE 'changed' END
+    WHEN was.modified IS NULL THEN 'unchecked' WHEN n % 1000 = was.modified THEN 'resolved' ELSE 'changed' END AS outcome FROM met
 )
 SELECT 'n' || n AS record_id, url || '#again' AS uri, canonical, n * 60 + 86400 AS "at", outcome,
   CASE WHEN outcome = 'resolved' THEN was.id END AS refers_to, CASE WHEN outcome = 'resolved' THEN was.digest END AS digest, CASE WHEN outcome = 'resolved' THEN was.n_bytes END AS n_bytes,

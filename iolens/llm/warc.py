@@ -1,7 +1,7 @@
 """WARC records and the resolution of not-modified revisits.
 
 A revisit that records a 304 answer has no payload. It is resolved by an as-of join: among the records of the same canonical URL the
-latest earlier full response (status 200; of equal times the one with the larger record id) is what the server spoke of, provided their validators agree. The resolved record
+latest earlier full response (status 200; of equal times the one with the larger record id) is what the server spoke of, provided that both have a validator and it agrees. The resolved record
 has the response's payload and headers, updated by those headers of the 304 answer that such an answer may change.
 
 The join is a window over (canonical URL, hour), so that a URL with a third of all records spreads over its hours. What an hour
@@ -11,15 +11,19 @@ do not travel: the result refers to them by record id, digest and length.
 
 from __future__ import annotations
 
-import gzip
+import hashlib
+import io
 import re
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Seconds of a stretch of the window.
 STRETCH = 3600
@@ -59,8 +63,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
     ``records`` has record_id, warc_type, uri, at (seconds), status, headers (map, names in lower case), digest and n_bytes of the payload.
     A row for each record of type ``revisit`` with status 304: record_id, uri, canonical, at, outcome, refers_to, digest, n_bytes, headers.
-    ``outcome`` is ``resolved``, ``no response`` (none earlier; also where URL or time is null) or ``changed`` (both name an entity tag and they differ, weak ones
-    compared like strong; or, without such a pair, both name a modification time and they differ). Only resolved rows have the columns of the response;
+    ``outcome`` is ``resolved``, ``no response`` (none earlier; also where URL or time is null), ``changed`` (both name an entity tag and they differ, weak ones
+    compared like strong; or, without such a pair, both name a modification time and they differ) or ``unchecked`` (they have no validator in common). Only resolved rows have the columns of the response;
     the headers of others stay their own. Repeated records stay rows of their own.
     """
     full = (F.col("warc_type") == "response") & (F.col("status") == 200)
@@ -89,8 +93,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     mine, old = F.coalesce("headers", F.create_map().cast("map<string,string>")), F.coalesce(F.map_from_entries("was.headers"), F.create_map().cast("map<string,string>"))
     met = met.withColumn("mine", mine).withColumn("old", old)
     tags = _etag(F.col("mine")).isNotNull() & _etag(F.col("old")).isNotNull()
-    same = F.when(tags, _etag(F.col("mine")) == _etag(F.col("old"))).otherwise(F.coalesce(F.col("mine")["last-modified"] == F.col("old")["last-modified"], F.lit(True)))
-    met = met.withColumn("outcome", F.when(F.col("was").isNull(), "no response").when(same, "resolved").otherwise("changed"))
+    same = F.when(tags, _etag(F.col("mine")) == _etag(F.col("old"))).otherwise(F.col("mine")["last-modified"] == F.col("old")["last-modified"])
+    met = met.withColumn("outcome", F.when(F.col("was").isNull(), "no response").when(same, "resolved").when(~same, "changed").otherwise("unchecked"))
     ok = F.col("outcome") == "resolved"
     new = F.map_filter("mine", lambda k, v: ~k.isin(NOT_MERGED))
     kept = F.map_filter("old", lambda k, v: ~F.array_contains(F.map_keys(new), k))
@@ -115,29 +119,85 @@ def header_lines(headers: Column) -> Column:
 # -- reading -------------------------------------------------------------------
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of the records of a WARC file, plain or a gzip member a record. A cut-off record at the end is left out."""
-    if data[:2] == b"\x1f\x8b":
-        out, rest = [], data
-        while rest[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
+#: Bytes of a file that are read at once.
+READ = 1 << 20
+
+
+class _Members:
+    """A file's bytes in order, plain or a gzip member a record; what cannot be unpacked ends it with ``damage``."""
+
+    def __init__(self, f):
+        self.f, self.damage = f, None
+        self.rest = f.read(READ)
+        self.packed = self.rest[:2] == b"\x1f\x8b"
+        self.unpack = zlib.decompressobj(31) if self.packed else None
+
+    def more(self) -> bytes:
+        while self.rest and not self.damage:
+            if not self.packed:
+                out, self.rest = self.rest, self.f.read(READ)
+                return out
             try:
-                out.append(d.decompress(rest))
-            except zlib.error:
-                break
-            rest = d.unused_data
-        data = b"".join(out)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        headers = _headers(data[at:end].split(b"\r\n")[1:])
-        n = int(headers.get("content-length") or 0)
-        if end + 4 + n > len(data):
+                out = self.unpack.decompress(self.rest, READ)
+            except zlib.error as e:
+                self.damage = f"gzip: {e}"
+                return b""
+            self.rest = self.unpack.unconsumed_tail
+            if self.unpack.eof:  # the next member, past any zeros between them
+                left = self.unpack.unused_data or self.f.read(READ)
+                while left and not left.strip(b"\0"):
+                    left = self.f.read(READ)
+                self.rest, self.unpack = left.lstrip(b"\0"), zlib.decompressobj(31)
+            elif not self.rest:
+                self.rest = self.f.read(READ)
+                if not self.rest and not out:
+                    self.damage = "gzip: cut off"
+            if out:
+                return out
+        return b""
+
+
+def parse_records(f) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(headers, block, damage) of the records of an open WARC file (or of bytes), plain or a gzip member a record, one in memory at a time.
+
+    A record with a length that is no number, one that is cut off and what cannot be unpacked come out with ``damage`` and what there is of their block; after a bad length the next
+    record is looked for.
+    """
+    source = _Members(io.BytesIO(f) if isinstance(f, bytes) else f)
+    held = bytearray()
+
+    def fill(n: int) -> bool:
+        while len(held) < n:
+            got = source.more()
+            if not got:
+                return False
+            held.extend(got)
+        return True
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0:
+            del held[: max(0, len(held) - 4)]
+            if not fill(len(held) + 1):
+                if source.damage:
+                    yield {}, b"", source.damage
+                return
+        del held[:at]
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not fill(len(held) + 1):
+                yield {}, b"", source.damage or "cut off in its headers"
+                return
+        headers = _headers(bytes(held[:end]).split(b"\r\n")[1:])
+        del held[: end + 4]
+        length = headers.get("content-length") or "0"
+        if not re.fullmatch("[0-9]{1,18}", length):
+            yield headers, b"", "content-length is no number"
+            continue
+        if not fill(int(length)):
+            yield headers, bytes(held), source.damage or "cut off"
             return
-        yield headers, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
+        block = bytes(held[: int(length)])
+        del held[: int(length)]
+        yield headers, block, None
 
 
 def _headers(lines: list[bytes]) -> dict[str, str]:
@@ -155,43 +215,70 @@ def _headers(lines: list[bytes]) -> dict[str, str]:
     return out
 
 
-def http_message(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
-    """(status, headers, payload) of an HTTP answer; chunked and gzip encodings are undone."""
+def http_message(block: bytes) -> tuple[int | None, dict[str, str], bytes, str | None]:
+    """(status, headers, payload, damage) of an HTTP answer; chunked and gzip encodings are undone as far as they go."""
     head, _, body = block.partition(b"\r\n\r\n")
     first, *lines = head.split(b"\r\n")
     m = re.match(rb"HTTP/\S+ (\d{3})", first)
-    headers = _headers(lines)
+    headers, damage = _headers(lines), None
     if headers.get("transfer-encoding", "").lower() == "chunked":
         parts, at = [], 0
-        while (end := body.find(b"\r\n", at)) >= 0:
-            n = int(body[at:end].split(b";")[0] or b"0", 16)
+        while True:
+            end = body.find(b"\r\n", at)
+            size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+            if not re.fullmatch(b"[0-9A-Fa-f]{1,15}", size):
+                damage = "cut off between chunks" if end < 0 else "chunk size is no number"
+                break
+            n = int(size, 16)
             parts.append(body[end + 2 : end + 2 + n])
-            at = end + 4 + n
-            if not n:
+            if len(parts[-1]) < n:
+                damage = "cut off in a chunk"
+            if not n or damage:
                 break
+            at = end + 4 + n
         body = b"".join(parts)
     if headers.get("content-encoding", "").lower() == "gzip":
-        body = gzip.decompress(body)
-    return int(m[1]) if m else None, headers, body
+        d = zlib.decompressobj(31)
+        try:
+            body = d.decompress(body)
+        except zlib.error as e:
+            body, damage = b"", damage or f"gzip: {e}"
+        if not d.eof and body:
+            damage = damage or "gzip: cut off"
+    return int(m[1]) if m else None, headers, body, damage
+
+
+def _seconds(date: str | None) -> int | None:
+    try:
+        return int(datetime.fromisoformat(date.replace("Z", "+00:00")).astimezone(UTC).timestamp()) if date else None
+    except (ValueError, OverflowError):
+        return None
+
+
+RECORDS = "record_id string, warc_type string, uri string, at bigint, status int, headers map<string,string>, digest string, n_bytes bigint, payload binary, damage string"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files at ``path`` in the form :func:`resolve_revisits` takes, with ``payload``. A file is read by one task."""
-    ddl = "record_id string, warc_type string, uri string, at bigint, status int, headers map<string,string>, digest string, n_bytes bigint, payload binary"
-    schema = pa.schema(
-        [("record_id", pa.string()), ("warc_type", pa.string()), ("uri", pa.string()), ("at", pa.int64()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("digest", pa.string()), ("n_bytes", pa.int64()), ("payload", pa.binary())]
-    )
+    """Records of the WARC files at ``path`` in the form :func:`resolve_revisits` takes, with ``payload`` and ``damage`` (null for sound ones).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
+    A file is read by one task as a stream, a record at a time, so it can have any size. Empty files have no record; missing fields, and dates that are none, are null; damaged records stay, with what
+    there is of them, and never fail the job.
+    """
+    schema = to_arrow_schema(T.StructType.fromDDL(RECORDS))
+    files = spark.read.format("binaryFile").load(path).select("path")
 
+    def rows(f) -> Iterator[list]:
+        for h, block, damage in parse_records(f):
+            status, headers, body, bad = http_message(block) if h.get("warc-type") in ("response", "revisit") else (None, {}, block, None)
+            uri = (h.get("warc-target-uri") or "").strip("<>") or None
+            yield [h.get("warc-record-id"), h.get("warc-type"), uri, _seconds(h.get("warc-date")), status, list(headers.items()), hashlib.md5(body).hexdigest(), len(body), body, damage or bad]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0).to_pylist():
-                for h, block in parse_records(data):
-                    status, headers, body = http_message(block) if h.get("warc-type") in ("response", "revisit") else (None, {}, block)
-                    date = h.get("warc-date")
-                    at = int(datetime.fromisoformat(date.replace("Z", "+00:00")).astimezone(UTC).timestamp()) if date else None
-                    row = [h.get("warc-record-id"), h.get("warc-type"), (h.get("warc-target-uri") or "").strip("<>") or None, at, status, list(headers.items()), hashlib.md5(body).hexdigest(), len(body), body]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, schema, strict=True)], schema=schema)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ddl)
+            for name in b.column(0).to_pylist():
+                fs, at = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with fs.open_input_stream(at, compression=None) as f:
+                    for row in rows(f):
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, schema, strict=True)], schema=schema)
+
+    return files.mapInArrow(run, RECORDS)

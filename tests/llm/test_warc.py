@@ -3,6 +3,8 @@ import random
 import re
 
 import duckdb
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from iolens.llm import queries as Q
@@ -36,8 +38,8 @@ def plain(rows):
             old = was["headers"] or {}
             tags = [x.get("etag", "").removeprefix("W/") for x in (mine, old)]
             times = [x.get("last-modified") for x in (mine, old)]
-            same = tags[0] == tags[1] if all(tags) else None in times or times[0] == times[1]
-            outcome = "resolved" if same else "changed"
+            same = tags[0] == tags[1] if all(tags) else None if None in times else times[0] == times[1]
+            outcome = {True: "resolved", False: "changed", None: "unchecked"}[same]
             if same:
                 mine = old | {k: v for k, v in mine.items() if k not in R.NOT_MERGED}
         out.append((r["record_id"], outcome, was["record_id"] if outcome == "resolved" else None, was["digest"] if outcome == "resolved" else None, sorted(mine.items())))
@@ -72,7 +74,7 @@ def test_query_equals_its_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{path}/pages.parquet'")
     assert got == sorted(con.execute(Q.OP6_SQL).fetchall(), key=str)
-    assert {r[4] for r in got} >= {"resolved", "changed"}
+    assert {r[4] for r in got} >= {"resolved", "changed", "unchecked"} and {r[5][0] for r in got if r[5]} == set("rs")
 
 
 def record(kind, uri, date, block):
@@ -87,6 +89,34 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(c) + gzip.compress(record("warcinfo", "", "2024-01-01T00:00:00Z", b"x: y")))
     (tmp_path / "empty.warc").write_bytes(b"")
     rows = R.read_warc(spark, str(tmp_path))
+    assert [r.damage for r in rows.collect() if r.damage] == ["cut off"]
+    rows = rows.where("damage is null")
     assert sorted((r.warc_type, bytes(r.payload)) for r in rows.collect()) == [("response", b"abcde"), ("response", b"body"), ("revisit", b""), ("warcinfo", b"x: y")]
     r = R.resolve_revisits(rows).collect()
     assert len(r) == 1 and r[0].outcome == "resolved" and r[0].n_bytes == 5 and r[0].headers["x"] == "new"
+
+
+def test_damage_is_told_and_never_fails(spark, tmp_path):
+    date = "2024-01-01T00:00:00Z"
+    chunked = record("response", "http://a.example/", date, b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\nabc")
+    zipped = record("response", "http://b.example/", date, b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + gzip.compress(b"body" * 99)[:-9])
+    length = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\n"
+    sound = record("response", "http://c.example/", "no date", b"HTTP/1.1 200 OK\r\n\r\nfine")
+    (tmp_path / "a.warc").write_bytes(chunked + zipped + length + sound)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(sound) + b"\0" * 7 + gzip.compress(sound)[:-20])
+    (tmp_path / "c.warc").write_bytes(b"noise" * 1000 + b"WARC/1.1\r\nWARC-Ty")
+    got = R.read_warc(spark, str(tmp_path)).collect()
+    assert sorted((r.damage or "", bytes(r.payload)[:8]) for r in got if (r.damage or "").startswith(("chunk", "content", "cut off in its"))) == [("chunk size is no number", b""), ("content-length is no number", b""), ("cut off in its headers", b"")]
+    assert sum(r.damage is None and bytes(r.payload) == b"fine" and r.at is None for r in got) == 2
+    assert [bytes(r.payload) for r in got if r.uri == "http://b.example/"] == [b"body" * 99]
+    assert any((r.damage or "").startswith("gzip") for r in got)
+    assert R.resolve_revisits(R.read_warc(spark, str(tmp_path))).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=60), st.integers(0, 400), st.integers(0, 400))
+def test_any_bytes(noise, a, b):
+    data = record("response", "http://c.example/", "x", b"HTTP/1.1 200 OK\r\n\r\nfine" * 5)
+    for x in (data, gzip.compress(data)):
+        for h, block, damage in R.parse_records(x[: min(a, b)] + noise + x[max(a, b) :]):
+            R.http_message(block)
