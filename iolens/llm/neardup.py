@@ -3,7 +3,8 @@
 Each text is a set of word shingles. A few small *collections* of minhashes are drawn from it. Instead of fresh minhashes for every
 table, each pair of collections is a table whose key combines both: with ``c`` collections of ``r`` hashes there are c(c-1)/2 tables of
 2r hashes for only c*r minhashes. Two sets meet in a table as soon as two of their collections agree, so with 16 collections of 4
-hashes sets of similarity 0.85 miss each other with a probability of 0.00014, those of 0.95 of less than 1e-9.
+hashes sets of similarity 0.85 miss each other with a probability of 0.00014. The number of collections follows the threshold and a bound on that
+probability, 1e-5 at the threshold itself (20 collections for 0.85) and far less above it.
 
 Steps, each of them a shuffle on keys with pre-aggregation:
 
@@ -29,13 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, saved
+from .common import discard, map_rows, saved
 from .components import connected_components
 
 WORDS = 5
 #: A link: LINK_NUM * |union| <= 100 * |intersection|.
 LINK_NUM = 85
 COLLECTIONS, HASHES = 16, 4
+#: The probability with which two sets just at the threshold may miss each other.
+MISS = 1e-5
 #: Of one block of a family at most about this many sets and shingles (a single set may be larger).
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_000_000
 
@@ -259,16 +262,17 @@ def near_duplicates(
     link_num: int = LINK_NUM,
     block_sets: int = BLOCK_SETS,
     block_shingles: int = BLOCK_SHINGLES,
+    miss: float = MISS,
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of ``df``.
 
     Rows are linked if ``100 * intersection >= link_num * union`` of their shingle sets; ``component_id`` is the smallest id reachable over
     links, the own id included, and ``kept`` tells whether it is the own one. Null, empty and wordless texts have an empty set and no link.
-    The number of collections follows ``link_num`` (:func:`collections_for`).
+    The number of collections follows ``link_num`` and ``miss``, the share of links just at the threshold that may be lost (:func:`collections_for`); the smaller it is, the more minhashes.
     Rows that share an id count as one document: a link of one is a link of all. A null id takes no part: its component is null and it is kept.
     """
     df = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    docs = saved(prepared(df, "id", "text", n_words, collections_for(link_num)), "shingles")
+    docs = saved(prepared(df, "id", "text", n_words, collections_for(link_num, miss)), "shingles")
     classes = saved(
         docs.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")),
         "classes",
@@ -322,7 +326,10 @@ def near_duplicates(
         "n_shingles",
         F.when(F.col("id").isNotNull(), F.least(F.coalesce("of_class", "id"), "id")).alias("component_id"),
     )
-    return own.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    # the result is a table of its own, so that nothing else has to stay
+    out = saved(own.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))), "near-duplicates")
+    discard(docs, classes, ties, stars, texts, near, sized)
+    return out
 
 
 def miss_probability(similarity: float, collections: int = COLLECTIONS, hashes: int = HASHES) -> float:
@@ -331,9 +338,9 @@ def miss_probability(similarity: float, collections: int = COLLECTIONS, hashes:
     return (1 - p) ** collections + collections * p * (1 - p) ** (collections - 1)
 
 
-def collections_for(link_num: int) -> int:
-    """The least number of collections, 16 at least, by which sets at the threshold miss each other as rarely as those of 0.85 do by 16."""
-    n = COLLECTIONS
-    while miss_probability(link_num / 100, n) > miss_probability(LINK_NUM / 100):
+def collections_for(link_num: int, miss: float = MISS) -> int:
+    """The least number of collections, 4 at least, by which sets at the threshold miss each other with no more than this probability."""
+    n = 4
+    while miss_probability(link_num / 100, n) > miss:
         n += 1
     return n
