@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, work_dir
+from .common import bound_batches, delete, saved, work_dir
 from .sentencepieces import local_file
 
 #: A file ends with the record that reaches this size.
@@ -353,7 +353,9 @@ def read_records(
 
 
 def records_of(df: DataFrame, tokenizer_path: str, end_id: int | None, **kw) -> DataFrame:
-    """Write ``df`` to a new folder of the shared one and read it back: (doc_id, start, n_tokens, ids_crc32)."""
+    """Write ``df`` to a new folder of the shared one and read it back: (doc_id, start, n_tokens, ids_crc32). What was read is kept as a table, the files are deleted."""
     out = work_dir(df.sparkSession, "token-records")
     files = write_records(df, out, tokenizer_path, end_id, **kw)
-    return read_records(df.sparkSession, out, files, kw.get("id_width", 2), ("ids_crc32",))
+    got = saved(read_records(df.sparkSession, out, files, kw.get("id_width", 2), ("ids_crc32",)), "records")
+    delete(df.sparkSession, out)
+    return got
