@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, sampled, saved
+from .common import bound_batches, discard, sampled, saved
 
 #: Rows that centres and probes are fitted on, about: a documented bound.
 SAMPLE = 20_000
@@ -288,11 +288,11 @@ def search(
     stored = rows.mapInArrow(placed, f"id bigint, list int, code binary, norm double, agree double, v {kind}")
     # rows are dealt to pieces by where they were read, so that copies of one row spread, too; the table is written before it is used
     salt = F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id())
-    stored = saved(stored.withColumn("salt", salt), "lists")
+    stored = stored_table = saved(stored.withColumn("salt", salt), "lists")
     by_list = {r["list"]: r["n"] for r in stored.groupBy("list").agg(F.ceil(F.count("*") / piece).cast("int").alias("n")).collect()}  # one number a list
     pieces = F.element_at(F.create_map(*[x for p in sorted(by_list.items()) for x in map(F.lit, p)]), F.col("list"))
     stored = stored.withColumn("piece", F.pmod("salt", pieces).cast("int"))
-    sent = saved(asked.mapInArrow(nearest_lists, f"id bigint, v {kind}, near array<int>"), "queries")
+    sent = sent_table = saved(asked.mapInArrow(nearest_lists, f"id bigint, v {kind}, near array<int>"), "queries")
     first = sent.select("id", "v", F.explode(F.slice("near", 1, AHEAD)).alias("list"), F.lit(0).alias("piece"), F.lit(float("inf")).alias("reach"))
     ahead = _meet(stored.where("piece = 0"), first, centres, turn, k, epsilon, block)
     known = F.array_sort(F.collect_list("score"))
@@ -302,4 +302,7 @@ def search(
     found = _meet(stored, sent, centres, turn, k, epsilon, block)
     # Spark keeps the k smallest of each query before the shuffle, too
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # at most k rows a query: written, so that the lists need not stay
+    out = saved(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+    discard(stored_table, sent_table)
+    return out

@@ -18,7 +18,7 @@ def test_stages_against_plain_versions(spark):
     assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {9001, 9002, 9003}
     assert kept.columns == P.COLUMNS
     rows = [(r.doc_id, r.text) for r in kept.collect()]
-    single = saved(P.near_duplicate_removal(spark, kept, SF), "test")
+    single = saved(P.near_duplicate_removal(spark, kept, SF, 85), "test")
     assert sorted(r.doc_id for r in single.collect()) == sorted(d for d, _, c in brute(rows) if d == c)
     mixed = saved(P.mix(spark, single, SF), "test")
     ids = {r.doc_id for r in single.collect()}
@@ -53,6 +53,16 @@ def test_texts_of_no_learned_language_are_rejected(spark):
     assert got.where("doc_id < 9000").count() == docs.count()
 
 
+def test_repeated_rows_and_rows_without_an_id(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(5, long), (5, long), (None, long), (None, long + " end"), (None, other), (None, other), (8, ""), (None, ""), (None, ""), (None, None), (9, None), (7, other + " more"), (3, "a b")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.near_duplicate_removal(spark, docs, SF)
+    assert got.columns == P.COLUMNS
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(5, long), (8, ""), (None, ""), (None, None), (9, None), (7, other + " more"), (3, "a b")], key=str)
+
+
 def test_near_duplicates_between_80_and_85_are_removed(spark):
     """Pairs with 100 shingles in common and tails of their own: similarities of 0.806, 0.826 and 0.787."""
     tails, rows = [(12, 12), (10, 11), (14, 13)], []
