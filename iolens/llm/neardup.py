@@ -40,14 +40,14 @@ COLLECTIONS, HASHES = 16, 4
 #: The probability with which two sets just at the threshold may miss each other.
 MISS = 1e-5
 #: Of one block of a family at most about this many sets and shingles (a single set may be larger).
-BLOCK_SETS, BLOCK_SHINGLES = 2048, 1_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 400_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 class _Words(dict):
-    KEPT = 1_000_000
+    KEPT = 250_000
 
     def __missing__(self, w: bytes) -> int:
         h = xxhash.xxh64_intdigest(w)
