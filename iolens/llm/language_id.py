@@ -147,10 +147,14 @@ class Labeller:
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.scores, self.letters, self.fit = np.vstack([self.scores, s]), np.concatenate([self.letters, n]), np.concatenate([self.fit, fits])
 
-    def paths(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text: languages' numbers by word, letters by word, summed scores by language."""
+    def places(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Where the words of each text are in the tables of scores, letters and fits."""
         self.learn({w for ws in texts for w in ws})
-        at = [np.fromiter(map(self.place.__getitem__, ws), np.int64, len(ws)) for ws in texts]
+        return [np.fromiter(map(self.place.__getitem__, ws), np.int64, len(ws)) for ws in texts]
+
+    def paths(self, texts: list[list[str]], at: list[np.ndarray] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text: languages' numbers by word, letters by word, summed scores by language."""
+        at = self.places(texts) if at is None else at
         out: list = [None] * len(texts)
         hard = []
         for k, i in enumerate(at):
@@ -202,13 +206,13 @@ class Labeller:
             out[order[k]] = path
         return out
 
-    def predict(self, text_words: list[list[str]]) -> list[tuple[str, float]]:
+    def predict(self, text_words: list[list[str]], at: list[np.ndarray] | None = None) -> list[tuple[str, float]]:
         """Language with most letters over the whole text (of equals the one that scores best, then the first by name), and a score:
         its share of the letters times its posterior probability over the text as a whole."""
         if not self.m.languages:
             return [(UNKNOWN, 0.0)] * len(text_words)
         out = []
-        for path, letters, total in self.paths(text_words):
+        for path, letters, total in self.paths(text_words, at):
             n = letters.sum()
             if not n:
                 out.append((UNKNOWN, 0.0))
@@ -221,18 +225,16 @@ class Labeller:
             out.append((self.m.languages[best], float(min(1.0, share[best] / n * p))))
         return out
 
-    def fits(self, text_words: list[list[str]]) -> list[tuple[float, float | None]]:
-        """Share of the letters that are in words whose script some language uses, and the mean fit of these letters (None without any)."""
+    def fits(self, at: list[np.ndarray]) -> list[tuple[float, float | None]]:
+        """For the places of each text's words: share of the letters that are in words whose script some language uses, and the mean fit of these letters (None without any)."""
         if not self.m.languages:
-            return [(0.0, None)] * len(text_words)
-        self.learn({w for ws in text_words for w in ws})
+            return [(0.0, None)] * len(at)
+        fit, letters = np.nan_to_num(self.fit), self.letters
+        known = np.where(np.isnan(self.fit), 0, letters)
         out = []
-        for ws in text_words:
-            i = np.fromiter(map(self.place.__getitem__, ws), np.int64, len(ws))
-            letters, fit = self.letters[i], self.fit[i]
-            on = ~np.isnan(fit)
-            known = int(letters[on].sum())
-            out.append((known / int(letters.sum()), float(fit[on].sum() / known)) if known else (0.0, None))
+        for i in at:
+            n = int(known[i].sum())
+            out.append((n / int(letters[i].sum()), float(fit[i].sum() / n)) if n else (0.0, None))
         return out
 
 
@@ -310,13 +312,14 @@ def identify(df: DataFrame, model: Model, keep: dict[str, Column] | None = None,
 
         def batch(*cols):
             texts = [words_of(t) if t else [] for t in cols[-1]]
-            got = lab.predict(texts)
             model = lab.m
+            at = lab.places(texts) if model.languages else [np.zeros(0, np.int64)] * len(texts)
+            got = lab.predict(texts, at)
             out = [*cols[:-1], [g[0] for g in got], [g[1] for g in got]]
             if with_spans:
-                out.append([spans(p, n, model.languages) for p, n, _ in lab.paths(texts)] if model.languages else [[] for _ in texts])
+                out.append([spans(p, n, model.languages) for p, n, _ in lab.paths(texts, at)] if model.languages else [[] for _ in texts])
             if with_fit:
-                fits = lab.fits(texts)
+                fits = lab.fits(at)
                 out += [[f[0] for f in fits], [f[1] for f in fits]]
             return out
 
