@@ -299,7 +299,8 @@ def near_duplicates(
     heads = salts.select("center", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("arm"), F.col("center").alias("id"))
     met = arms.union(heads).join(texts, "id")
     near = saved(_confirm_stars(met.repartition("center", "salt").sortWithinPartitions("center", "salt", "arm"), n_words, link_num), "near")
-    joined = connected_components(near, name="parts").select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    parts_of = connected_components(near, name="parts")
+    joined = parts_of.select(F.col("node").alias("rep"), F.col("component").alias("part"))
     sized = classes.groupBy("rep").agg(F.sum("n_shingles").alias("n")).join(family, F.col("rep") == F.col("node")).select("rep", "n", F.col("component").alias("family"))
     sized = saved(sized.join(joined, "rep", "left").withColumn("part", F.coalesce("part", "rep")), "members")
     # the largest part of each family only meets the rows of the others
@@ -328,7 +329,7 @@ def near_duplicates(
     )
     # the result is a table of its own, so that nothing else has to stay
     out = saved(own.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))), "near-duplicates")
-    discard(docs, classes, ties, stars, texts, near, sized)
+    discard(docs, classes, ties, family, stars, texts, near, parts_of, sized, found)
     return out
 
 
