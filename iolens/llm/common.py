@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -23,12 +24,20 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def release() -> None:
+    """Give the free memory of a Python worker back to the system: it goes on to other tasks, and their like need what it does not use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 def map_rows(
     df: DataFrame, schema: T.StructType | str, start: Callable[[], Callable[..., Sequence]]
 ) -> DataFrame:
     """Apply ``start()(col1, col2, ...) -> [out1, out2, ...]`` (lists of equal length) to each Arrow batch.
 
-    ``start`` runs once a task and returns the function for batches: it is where models are loaded.
+    ``start`` runs once a task and returns the function for batches: it is where models are loaded. What it holds is freed when the task ends.
     """
     bound_batches(df.sparkSession)
     if isinstance(schema, str):
@@ -36,13 +45,15 @@ def map_rows(
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = start()
+        f, b, cols = start(), None, None
         for b in batches:
             cols = f(*(c.to_pylist() for c in b.columns))
             yield pa.RecordBatch.from_arrays(
                 [c if isinstance(c, pa.Array) else pa.array(c, type=t.type) for c, t in zip(cols, arrow, strict=True)],
                 schema=arrow,
             )
+        del f, b, cols
+        release()
 
     return df.mapInArrow(run, schema)
 

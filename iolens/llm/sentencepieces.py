@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 MARK = "▁"
-#: Units kept by a worker; the table starts anew beyond that.
-KEPT = 1_000_000
+#: A worker keeps the units met last, in two tables of this size; a full one takes the place of the older.
+KEPT = 250_000
 #: Pairs of pieces kept.
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 400_000
 NEVER = float("inf")
 #: Longer units are encoded each time.
 LONGEST_KEPT = 64
@@ -349,8 +349,18 @@ class Units(dict):
     def __init__(self, encoder: PieceEncoder):
         super().__init__()
         self.encoder = encoder
+        self.older: dict[str, tuple[str, str]] = {}
 
     def __missing__(self, key: str) -> tuple[str, str]:
+        got = self.older.get(key) or self.made(key)
+        if len(key) <= LONGEST_KEPT:
+            if len(self) >= KEPT:
+                self.older = dict(self)
+                self.clear()
+            self[key] = got
+        return got
+
+    def made(self, key: str) -> tuple[str, str]:
         e = self.encoder
         ids = e.unit_ids(e.key_unit(key))
         if max(ids) >= e.first_plain and min(ids) >= e.first_plain:
@@ -358,12 +368,7 @@ class Units(dict):
         else:
             # the space that decoding takes from the start of a text belongs to this unit here
             text = (" " if e.prefix and e.surface[ids[0]][:1] == b" " else "") + e.decode(ids)
-        got = ",".join(map(str, ids)), text
-        if len(key) <= LONGEST_KEPT:
-            if len(self) >= KEPT:
-                self.clear()
-            self[key] = got
-        return got
+        return ",".join(map(str, ids)), text
 
 
 @lru_cache(maxsize=4)

@@ -5,6 +5,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from iolens.llm import sentencepieces
 from iolens.llm.common import tokenizer_file
 from iolens.llm.sentencepieces import encode_texts, encoder
 
@@ -47,3 +48,14 @@ def test_rows(spark):
     assert encode_texts(df.limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         encode_texts(df, PATH, outputs=("nope",))
+
+
+def test_full_tables(monkeypatch):
+    """Tables of units and pairs that are full all the time change no id."""
+    texts = [" ".join(f"w{(i * k) % 23} {chr(97 + k % 26)}{i}x" for i in range(60)) for k in range(30)]
+    monkeypatch.setattr(sentencepieces, "KEPT", 5)
+    monkeypatch.setattr(sentencepieces, "KEPT_PAIRS", 3)
+    with open(PATH, "rb") as f:
+        small = sentencepieces.PieceEncoder(f.read())
+    assert [small.encode(t) for t in texts] == [SP.encode(t) for t in texts]
+    assert len(small.units) <= 5 and len(small.units.older) <= 5 and len(small.fits) <= 3
