@@ -1,12 +1,12 @@
 """Lossless WebP: a decoder of the whole bitstream, an encoder, and text payloads as pixel columns.
 
 The decoder reads prefix codes (simple, length-coded, with groups by region), backward references, the colour cache, and inverts the
-predictor, cross-colour, subtract-green and palette transforms. Where all codes of an image have one length for every symbol, pixels have a
-fixed width and are unpacked as arrays up to the next backward reference; everything else is read symbol by symbol.
+predictor, cross-colour, subtract-green and palette transforms. Of an image with one group of codes the lengths of symbols are looked up for all bits
+at once; images with several groups are read symbol by symbol.
 
-Payloads of text: UTF-8 bytes, zeros up to a positive multiple of 64, stored as grey levels (green samples) of palette images 64 pixels
-wide. The encoder gives each byte value in use a code of equal length and writes a line of 24 bytes or more that occurred before as a backward
-reference. Payloads beyond 64 x 16384 bytes become several images, one file after the other.
+Payloads of text: UTF-8 bytes, zeros up to a positive multiple of 64, stored as grey levels (green samples) of images 64 pixels
+wide, with transforms, Huffman codes, a colour cache and backward references, also to a line of 24 bytes or more that occurred before. Payloads beyond
+64 x 16384 bytes become several images, one file after the other.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import heapq
 import zlib
 from collections import Counter
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -48,41 +48,71 @@ class BadImage(ValueError):
 # -- prefix codes --------------------------------------------------------------
 
 
+@lru_cache(maxsize=1)
+def _reversed() -> np.ndarray:
+    """All numbers of 15 bits, their bits in the opposite order."""
+    x = np.arange(1 << 15)
+    return sum((x >> k & 1) << (14 - k) for k in range(15))
+
+
+@lru_cache(maxsize=512)
+def _single(symbol: int) -> Code:
+    return Code({symbol: 1})
+
+
 class Code:
-    """A canonical prefix code by its lengths, read from the lowest bit up."""
+    """A canonical prefix code by its lengths. ``table`` has symbols by the next ``most`` bits, the first of them the highest."""
 
     def __init__(self, lengths: dict[int, int]):
         used = sorted((n, s) for s, n in lengths.items() if n)
-        self.only = used[0][1] if len(used) == 1 else None
         if not used:
             raise BadImage("empty code")
-        if self.only is None and sum(1 << (15 - n) for n, _ in used) != 1 << 15:
-            raise BadImage("incomplete code")
-        self.bits: dict[int, tuple[int, int]] = {}
-        code = last = 0
-        for n, s in used:
-            code <<= n - last
-            last = n
-            self.bits[s] = (0, 0) if self.only is not None else (int(f"{code:0{n}b}"[::-1], 2), n)
-            code += 1
-        self.find = {(n, v): s for s, (v, n) in self.bits.items()}
-        self.one_length = used[0][0] if used[0][0] == used[-1][0] else None
+        self.only = used[0][1] if len(used) == 1 else None
         if self.only is not None:
-            self.one_length = 0
+            self.most, self.n, self.symbols, self.first = 0, np.zeros(1, np.int64), np.array([self.only]), np.zeros(1, np.int64)
+            return
+        self.n, self.symbols = np.array(used).T
+        share = 1 << (15 - self.n)
+        self.first = np.cumsum(share) - share
+        if self.first[-1] + share[-1] != 1 << 15:
+            raise BadImage("incomplete code")
+        self.most = int(self.n[-1])
 
-    @property
+    @cached_property
     def table(self) -> np.ndarray:
-        """Symbols by their bits, for codes of one length."""
-        t = np.zeros(1 << self.one_length, np.int64)
-        for s, (v, _) in self.bits.items():
-            t[v] = s
-        return t
+        return np.repeat(self.symbols, 1 << (self.most - self.n))
+
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        """Bits used, by the same index."""
+        return np.repeat(self.n, 1 << (self.most - self.n)).astype(np.uint8)
+
+    def written(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bits, the first of them the lowest, and their number, by symbol."""
+        v, n = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
+        v[self.symbols], n[self.symbols] = _reversed()[self.first], self.n
+        return v, n
+
+    @cached_property
+    def bits(self) -> dict[int, tuple[int, int]]:
+        return {x: (v, n) for x, v, n in zip(self.symbols.tolist(), _reversed()[self.first].tolist(), self.n.tolist(), strict=True)}
 
 
 class Bits:
     def __init__(self, data: bytes):
         self.data, self.at, self.end = data, 0, 8 * len(data)
 
+    @cached_property
+    def windows(self) -> np.ndarray:
+        """The 15 bits from each place on, the first of them the highest; zeros after the end."""
+        x = np.packbits(np.unpackbits(np.frombuffer(self.data + bytes(4), np.uint8), bitorder="little")).astype(np.uint32)
+        x = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
+        return (x[:, None] >> np.arange(9, 1, -1, dtype=np.uint32) & 0x7FFF).astype(np.uint16).ravel()
+
+    @cached_property
+    def look(self) -> memoryview:
+        return memoryview(self.windows)
+
     def read(self, n: int) -> int:
         if not n:
             return 0
@@ -95,16 +125,30 @@ class Bits:
     def symbol(self, code: Code) -> int:
         if code.only is not None:
             return code.only
-        v, find = 0, code.find
-        for n in range(1, 16):
-            v |= self.read(1) << (n - 1)
-            s = find.get((n, v))
-            if s is not None:
-                return s
-        raise BadImage("no such code")
+        if self.at >= self.end:
+            raise BadImage("data end early")
+        x = self.look[self.at] >> (15 - code.most)
+        self.at += int(code.sizes[x])
+        if self.at > self.end:
+            raise BadImage("data end early")
+        return int(code.table[x])
+
+
+@lru_cache(maxsize=4096)
+def _short(window: int) -> tuple[Code, int]:
+    """A code of one symbol below 256 by the 11 bits that tell it, with their number."""
+    if window >> 8 & 1:
+        return _single(int(f"{window & 255:08b}"[::-1], 2)), 11
+    return _single(window >> 7 & 1), 4
 
 
 def read_code(b: Bits, size: int) -> Code:
+    if b.at + 11 < b.end and (w := b.look[b.at]) >> 13 == 2:
+        code, n = _short(w >> 4)
+        if code.only >= size:
+            raise BadImage("symbol out of range")
+        b.at += n
+        return code
     if b.read(1):
         two, wide = b.read(1), b.read(1)
         symbols = [b.read(8 if wide else 1)]
@@ -112,28 +156,36 @@ def read_code(b: Bits, size: int) -> Code:
             symbols.append(b.read(8))
         if max(symbols) >= size:
             raise BadImage("symbol out of range")
-        return Code(dict.fromkeys(symbols, 1))
+        return Code(dict.fromkeys(symbols, 1)) if two else _single(symbols[0])
     n = 4 + b.read(4)
     inner = Code({s: x for s in CODE_LENGTH_ORDER[:n] if (x := b.read(3))})
     left = size if not b.read(1) else 2 + b.read(2 + 2 * b.read(3))
     if left > size:
         raise BadImage("too many code lengths")
     lengths: dict[int, int] = {}
-    s, before = 0, 8
+    s, before, at, look, rest = 0, 8, b.at, b.look, 15 - inner.most
+    table, sizes = inner.table.tolist(), inner.sizes.tolist()
     while s < size and left:
         left -= 1
-        x = b.symbol(inner)
+        if at >= b.end:
+            raise BadImage("data end early")
+        w = look[at] >> rest
+        x = table[w]
+        at += sizes[w]
         if x < 16:
             if x:
                 lengths[s] = before = x
             s += 1
             continue
+        b.at = at
         times = 3 + b.read(2) if x == 16 else 3 + b.read(3) if x == 17 else 11 + b.read(7)
+        at = b.at
         if s + times > size:
             raise BadImage("too many code lengths")
         if x == 16:
             lengths.update(dict.fromkeys(range(s, s + times), before))
         s += times
+    b.at = at
     return Code(lengths)
 
 
@@ -166,10 +218,8 @@ def read_pixels(b: Bits, width: int, height: int, main: bool) -> np.ndarray:
     n = width * height
     out = np.zeros(n, np.uint32)
     cache = [0] * (1 << cache_bits) if cache_bits else None
-    fixed = groups == 1 and not cache and all(c.one_length is not None for c in codes[0][:4])
-    if fixed:
-        widths = [c.one_length for c in codes[0][:4]]
-        tables = [c.table for c in codes[0][:4]]
+    if groups == 1 and n >= 128 and (codes[0][0].only is None or all(c.only is not None for c in codes[0][:4]) and codes[0][0].only < 256):
+        return _of_one_group(b, codes[0], width, n, cache_bits)
     at = cached = 0
 
     def remember(upto: int) -> None:
@@ -179,10 +229,6 @@ def read_pixels(b: Bits, width: int, height: int, main: bool) -> np.ndarray:
         cached = upto
 
     while at < n:
-        if fixed:
-            at = _literals(b, out, at, widths, tables)
-            if at == n:
-                break
         g = codes[0] if region is None else codes[int(region[(at // width >> region_bits) * _spread(width, region_bits) + (at % width >> region_bits)])]
         s = b.symbol(g[0])
         if s < 256:
@@ -207,33 +253,150 @@ def read_pixels(b: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return out
 
 
-def _literals(b: Bits, out: np.ndarray, at: int, widths: list[int], tables: list[np.ndarray]) -> int:
-    """Unpack pixels of fixed width up to the next that is no literal; returns where that is."""
-    w = sum(widths)
-    n = len(out)
-    step = 512
-    while at < n:
-        k = min(step, n - at)
-        step *= 4
-        if w:
-            k = min(k, (b.end - b.at) // w)
-            if not k:
-                return at
-            first = b.at >> 3
-            raw = np.frombuffer(b.data, np.uint8, (b.at + k * w + 7 >> 3) - first, first)
-            bits = np.unpackbits(raw, bitorder="little")[b.at & 7 :][: k * w].reshape(k, w)
-        parts, c = [], 0
-        for width, table in zip(widths, tables, strict=True):
-            parts.append(table[np.packbits(bits[:, c : c + width], axis=1, bitorder="little").astype(np.int64) @ (256 ** np.arange(_spread(width, 3)))] if width else np.full(k, table[0]))
-            c += width
-        green, red, blue, alpha = parts
-        literal = int((green >= 256).argmax()) if green.max() >= 256 else k
-        out[at : at + literal] = (alpha[:literal] << 24 | red[:literal] << 16 | green[:literal] << 8 | blue[:literal]).astype(np.uint32)
-        at += literal
-        b.at += literal * w
-        if literal < k:
-            return at
-    return at
+def _of_one_group(b: Bits, codes: list[Code], width: int, n: int, cache_bits: int) -> np.ndarray:
+    """Pixels by one group of codes: how long a symbol is is looked up for all places of the data at once, then symbols are followed, four at a time."""
+    green, *rest = codes[:4]
+    base = b.at
+    if green.only is not None:
+        return np.full(n, rest[2].only << 24 | rest[0].only << 16 | green.only << 8 | rest[1].only, np.uint32)
+    refer = bool(((green.symbols >= 256) & (green.symbols < 256 + LENGTHS)).any())
+    longest = max(sum(c.most for c in codes[:4]), green.most + codes[4].most + 40 if refer else 0)
+    win = b.windows[base : base + n * longest + 16]
+    end = len(win) - 1
+    if end < 1:
+        raise BadImage("data end early")
+    x = win >> (15 - green.most)
+    # references and the end are stops
+    sizes = np.where((green.table >= 256) & (green.table < 256 + LENGTHS), np.uint8(0), green.sizes)
+    own = sizes[x]
+    follow = np.arange(len(win)) + own
+    if many := [c for c in rest if c.only is None]:
+        pixel = follow
+        for c in many:
+            pixel = pixel + c.sizes[win >> (15 - c.most)][np.minimum(pixel, end)]
+        # references and entries of the cache have no other channels
+        follow = pixel if (green.symbols < 256).all() else np.where((green.table < 256)[x], pixel, follow)
+    np.minimum(follow, end, out=follow)
+    far = follow[follow]
+    far = far[far]
+    ahead = memoryview(far)
+    steps: list[int] = []
+    upto: list[int] = []
+    runs: list[int] = []
+    found: list[tuple[int, int]] = []
+    p, left = 0, n
+    while left > 0:
+        first = len(steps)
+        for _ in range(left // 4 + 2):
+            steps.append(p)
+            q = ahead[p]
+            if q == p:
+                break
+            p = q
+        else:
+            p = end
+        runs.append(len(steps) - first)
+        upto.append(p)
+        left -= 4 * max(0, len(steps) - first - 2)
+        if p == end:
+            break
+        b.at = base + p
+        try:
+            length = _number(b, b.symbol(green) - 256)
+            d = _number(b, b.symbol(codes[4]))
+        except BadImage:  # behind the image, or the pixels will be too few
+            break
+        found.append((length, d - 120 if d > 120 else max(1, NEAR[d - 1][0] + NEAR[d - 1][1] * width)))
+        left -= length
+        p = b.at - base
+        if p >= end:
+            break
+    at = np.array(steps)
+    row = [at]
+    for _ in range(3):
+        at = follow[at]
+        row.append(at)
+    row = np.stack(row, 1)
+    real = row < np.repeat(upto, runs)[:, None]
+    ends = np.cumsum(np.add.reduceat(real.sum(1), np.cumsum(runs) - runs)).tolist()
+    starts, refs, total = row[real], [], 0  # references: literals and cached pixels before, length, distance
+    for k, (length, d) in zip(ends, found, strict=False):
+        if k + total >= n:
+            break
+        if d > k + total or k + total + length > n:
+            raise BadImage("reference out of range")
+        refs.append((k, length, d))
+        total += length
+    if len(starts) < n - total:
+        raise BadImage("data end early")
+    last = len(refs) and refs[-1][0] == n - total
+    starts = starts[: n - total]
+    b.at = base + (_behind(b, base + upto[len(refs) - 1], green, codes[4]) - base if last else int(follow[starts[-1]]))
+    if b.at > b.end:
+        raise BadImage("data end early")
+    x = win[starts] >> (15 - green.most)
+    sym, at = green.table[x], starts + green.sizes[x]
+    value = sym.astype(np.uint32) << 8
+    for c, shift in zip(rest, (16, 0, 24), strict=True):
+        if c.only is not None:
+            value |= np.uint32(c.only << shift)
+        else:
+            x = win[np.minimum(at, len(win) - 1)] >> (15 - c.most)
+            value |= c.table[x].astype(np.uint32) << shift
+            at = at + c.sizes[x]
+    cached = sym >= 256 + LENGTHS
+    if not cached.any():
+        return _copied(value, refs, n)
+    # a cached pixel is the last before it with its key: followed to a literal
+    keys = np.where(cached, sym - (256 + LENGTHS), _key(value, cache_bits)).astype(np.uint16)
+    key = _copied(keys, refs, n)
+    order = np.argsort(key, kind="stable")
+    before = np.full(n, n)
+    same = key[order[1:]] == key[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    own = np.arange(n)
+    fresh = np.ones(n, bool)
+    gone = 0
+    for k, length, d in refs:
+        a = k + gone
+        fresh[a : a + length] = False
+        own[a : a + length] -= d
+        gone += length
+    spots = np.flatnonzero(fresh)
+    pixels = np.zeros(n + 1, np.uint32)
+    pixels[spots] = np.where(cached, 0, value)
+    to = np.append(own, n)
+    to[spots[cached]] = before[spots[cached]]
+    while ((further := to[to]) != to).any():
+        to = further
+    return pixels[to[:n]]
+
+
+def _behind(b: Bits, at: int, green: Code, distance: Code) -> int:
+    """Where the reference that begins at ``at`` ends."""
+    b.at = at
+    _number(b, b.symbol(green) - 256)
+    _number(b, b.symbol(distance))
+    return b.at
+
+
+def _key(argb: np.ndarray, bits: int) -> np.ndarray:
+    return (np.asarray(argb, np.uint32) * np.uint32(CACHE_HASH)) >> np.uint32(32 - bits)
+
+
+def _copied(value: np.ndarray, refs: list[tuple[int, int, int]], n: int) -> np.ndarray:
+    """Values with the references between them carried out."""
+    if not refs:
+        return value
+    out = np.zeros(n, value.dtype)
+    at = done = 0
+    for k, length, d in refs:
+        out[at : at + k - done] = value[done:k]
+        at, done = at + k - done, k
+        out[at : at + length] = out[at - d : at - d + length] if d >= length else np.resize(out[at - d : at], length)
+        at += length
+    out[at:] = value[done:]
+    return out
 
 
 def _split(argb: np.ndarray) -> np.ndarray:
@@ -289,37 +452,92 @@ def predicted(mode: int, left, top, top_right, top_left):
 def _predict(img: np.ndarray, modes: np.ndarray, bits: int, forward: bool) -> np.ndarray:
     """Add (or, forward, take off) the predictions of an image of channels."""
     h, w = img.shape[:2]
-    out = img.copy()
-    known = img if forward else out
-    sign = -1 if forward else 1
-    for y in range(h):
-        if not y:
-            out[0, 0] = (img[0, 0] + sign * np.array([255, 0, 0, 0])) & 255
-            if forward:
-                out[0, 1:] = (img[0, 1:] - img[0, :-1]) & 255
-            else:
-                out[0] = np.cumsum(out[0], 0) & 255
+    mode = _modes(modes, bits, h, w)
+    if not forward:
+        return _unpredict(img, mode)
+    one = img.shape[2] == 1  # green alone: red and blue are 0, alpha 255
+    flat, mode = img.reshape(-1, img.shape[-1]), mode.ravel()
+    out = flat.copy()
+    for m in np.bincount(mode, minlength=1).nonzero()[0].tolist():
+        i = (mode == m).nonzero()[0]
+        # rows without one above have only modes 0 and 1
+        near = (flat[np.maximum(i - d, 0)] for d in (1, w, w - 1, w + 1))
+        out[i] = (flat[i] - (0 if one and not m else predicted(m, *near))) & 255
+    return out.reshape(img.shape)
+
+
+def _modes(modes: np.ndarray, bits: int, h: int, w: int) -> np.ndarray:
+    """The predictor of each pixel: those of the first row and column are fixed."""
+    mode = np.repeat(np.repeat(modes, 1 << bits, 0)[:h], 1 << bits, 1)[:, :w].astype(np.int64)
+    mode[0], mode[1:, 0], mode[0, 0] = 1, 2, 0
+    return mode
+
+
+def _unpredict(img: np.ndarray, mode: np.ndarray) -> np.ndarray:
+    h, w = mode.shape
+    out = img.reshape(-1, img.shape[-1]).copy()
+    for i, m in enumerate(mode.ravel().tolist()):
+        out[i] = (out[i] + predicted(m, *(out[max(i - d, 0)] for d in (1, w, w - 1, w + 1)))) & 255
+    return out.reshape(img.shape)
+
+
+def _unpredict_one(img: np.ndarray, mode: np.ndarray) -> np.ndarray:
+    """The same where only green differs from its prediction: red and blue stay 0, alpha 255."""
+    h, w = mode.shape
+    left = img.tobytes()  # what predictions left over
+    out = bytearray(h * w)
+    flat = mode.ravel()
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    new[::w] = True
+    cuts = new.nonzero()[0]
+    for s, e, m in zip(cuts.tolist(), [*cuts[1:].tolist(), h * w], flat[cuts].tolist(), strict=True):
+        if m == 2 and e == s + 1:
+            out[s] = left[s] + out[s - w] & 255
             continue
-        row = modes[y >> bits]
-        x = 0
-        while x < w:
-            mode = int(row[x >> bits]) if x else 2
-            end = 1 if not x else min(w, ((x >> bits) + 1) << bits)
-            while x and end < w and int(row[end >> bits]) == mode:
-                end = min(w, end + (1 << bits))
-            top = known[y - 1, x:end]
-            corner = known[y - 1, max(x - 1, 0) : max(end - 1, 1)]
-            right = np.concatenate([known[y - 1, x + 1 : end + 1], known[y, :1]])[: end - x]
-            if forward or mode not in (1, 5, 6, 7, 10, 11, 12, 13):
-                left = img[y, max(x - 1, 0) : max(end - 1, 1)]
-                out[y, x:end] = (img[y, x:end] + sign * predicted(mode, left, top, right, corner)) & 255
-            elif mode == 1:
-                out[y, x:end] = (np.cumsum(img[y, x:end], 0) + out[y, x - 1]) & 255
-            else:
-                for k in range(end - x):
-                    out[y, x + k] = (img[y, x + k] + predicted(mode, out[y, x + k - 1], top[k], right[k], corner[k])) & 255
-            x = end
-    return out
+        rest, x = left[s:e], out[s - 1] if s else 0
+        if m == 0 or m > 13:
+            out[s:e] = rest
+            continue
+        if m == 1:
+            got = [x := x + r & 255 for r in rest]
+            out[s:e] = bytes(got)
+            continue
+        top, corner, right = out[s - w : e - w], out[max(s - w - 1, 0) : max(e - w - 1, 0)], out[s - w + 1 : e - w + 1]
+        if len(corner) < e - s:  # the first column, where it is not asked for
+            corner = bytes(e - s - len(corner)) + corner
+        match m:
+            case 2:
+                got = [r + t & 255 for r, t in zip(rest, top, strict=True)]
+            case 3:
+                got = [r + t & 255 for r, t in zip(rest, right, strict=True)]
+            case 4:
+                got = [r + t & 255 for r, t in zip(rest, corner, strict=True)]
+            case 5:
+                got = [x := r + ((x + c >> 1) + t >> 1) & 255 for r, t, c in zip(rest, top, right, strict=True)]
+            case 6:
+                got = [x := r + (x + c >> 1) & 255 for r, c in zip(rest, corner, strict=True)]
+            case 7:
+                got = [x := r + (x + t >> 1) & 255 for r, t in zip(rest, top, strict=True)]
+            case 8:
+                got = [r + (c + t >> 1) & 255 for r, t, c in zip(rest, top, corner, strict=True)]
+            case 9:
+                got = [r + (c + t >> 1) & 255 for r, t, c in zip(rest, top, right, strict=True)]
+            case 10:
+                got = [x := r + ((x + c >> 1) + (t + q >> 1) >> 1) & 255 for r, t, c, q in zip(rest, top, corner, right, strict=True)]
+            case 11:
+                got = [x := r + (x if abs(t - c) < abs(x - c) else t) & 255 for r, t, c in zip(rest, top, corner, strict=True)]
+            case 12:
+                got = [x := r + (0 if (y := x + t - c) < 0 else 255 if y > 255 else y) & 255 for r, t, c in zip(rest, top, corner, strict=True)]
+            case _:
+                got = []
+                for r, t, c in zip(rest, top, corner, strict=True):
+                    a = x + t >> 1
+                    d = a - c
+                    a += -(-d >> 1) if d < 0 else d >> 1
+                    x = r + (0 if a < 0 else 255 if a > 255 else a) & 255
+                    got.append(x)
+        out[s:e] = bytes(got)
+    return np.frombuffer(out, np.uint8).reshape(h, w)
 
 
 def _cross(img: np.ndarray, elements: np.ndarray, bits: int, forward: bool) -> np.ndarray:
@@ -375,6 +593,9 @@ def decode_frame(data: bytes) -> np.ndarray:
             table[: len(colours)] = colours
             img = table[index]
             continue
+        if kind == PREDICTOR and not (img & 0xFFFF00FF).any():
+            img = _unpredict_one((img >> 8).astype(np.uint8), _modes(rest[1][..., 2], rest[0], height, w)).astype(np.uint32) << 8 | np.uint32(0xFF000000)
+            continue
         c = _split(img)
         if kind == SUBTRACT_GREEN:
             c[..., 1] += c[..., 2]
@@ -415,6 +636,18 @@ class Sink:
         self.flush()
         self.parts.append(a)
 
+    def many(self, v: np.ndarray, n: np.ndarray) -> None:
+        """Values of n bits each, 60 at most."""
+        end = np.cumsum(n)
+        at = end - n
+        word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+        words = np.zeros(int(end[-1]) // 64 + 2, np.uint64)
+        first = np.concatenate([[0], (word[1:] != word[:-1]).nonzero()[0] + 1])
+        words[word[first]] = np.add.reduceat(v << shift, first)
+        over = (shift + n > 64).nonzero()[0]
+        words[word[over] + 1] += v[over] >> (np.uint64(64) - shift[over])
+        self.bits(np.unpackbits(words.view(np.uint8), bitorder="little")[: int(end[-1])])
+
     def flush(self) -> None:
         if self.n:
             raw = np.frombuffer(self.value.to_bytes((self.n + 7) >> 3, "little"), np.uint8)
@@ -428,22 +661,32 @@ class Sink:
 
 def code_lengths(counts: dict[int, int], most: int) -> dict[int, int]:
     """Lengths of a Huffman code, at most ``most``."""
+    if len(counts) == 1:
+        return dict.fromkeys(counts, 1)
     floor = 1
     while True:
-        heap = [(max(c, floor), s, (s,)) for s, c in counts.items()]
+        leaves, n = sorted(counts), len(counts)
+        # weight and node in one number
+        heap = [max(counts[x], floor) << 13 | k for k, x in enumerate(leaves)]
         heapq.heapify(heap)
-        length = dict.fromkeys(counts, 0 if len(counts) > 1 else 1)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                length[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(length.values()) <= most:
-            return length
+        up = [0] * (2 * n - 1)
+        for node in range(n, 2 * n - 1):
+            x = heapq.heappop(heap)
+            y = heap[0]
+            up[x & 8191] = up[y & 8191] = node
+            heapq.heapreplace(heap, (x >> 13) + (y >> 13) << 13 | node)
+        depth = [0] * (2 * n - 1)
+        for x in range(2 * n - 3, -1, -1):
+            depth[x] = depth[up[x]] + 1
+        if max(depth[:n]) <= most:
+            return dict(zip(leaves, depth, strict=False))
         floor *= 2
 
 
 def put_code(s: Sink, lengths: dict[int, int], size: int) -> Code:
+    if len(lengths) == 1 and (only := next(iter(lengths))) < 256:
+        s.put(1 | (4 | only << 3 if only > 1 else only << 3), 11 if only > 1 else 4)
+        return _single(only)
     used = sorted(k for k, n in lengths.items() if n)
     if len(used) <= 2 and used[-1] < 256 and (len(used) == 1 or lengths[used[0]] == 1):
         s.put(1, 1)
@@ -453,15 +696,14 @@ def put_code(s: Sink, lengths: dict[int, int], size: int) -> Code:
         s.put(used[0], 8 if wide else 1)
         if len(used) == 2:
             s.put(used[1], 8)
-        return Code(dict.fromkeys(used, 1))
+        return Code(dict.fromkeys(used, 1)) if len(used) == 2 else _single(used[0])
     out: list[tuple[int, int, int]] = []  # symbol, extra, its bits
-    k, before = 0, 8
-    while k < size:
-        n = lengths.get(k, 0)
-        run = 1
-        while k + run < size and lengths.get(k + run, 0) == n:
-            run += 1
-        k += run
+    row = np.zeros(size, np.int64)
+    row[list(lengths)] = list(lengths.values())
+    turns = [0, *((row[1:] != row[:-1]).nonzero()[0] + 1).tolist()]
+    before = 8
+    for n, k, end in zip(row[turns].tolist(), turns, [*turns[1:], size], strict=True):
+        run = end - k
         if n and n != before:
             out.append((n, 0, 0))
             before, run = n, run - 1
@@ -484,10 +726,13 @@ def put_code(s: Sink, lengths: dict[int, int], size: int) -> Code:
     for x in CODE_LENGTH_ORDER[: max(4, last + 1)]:
         s.put(inner.get(x, 0), 3)
     s.put(0, 1)
-    c = Code(inner)
+    bits = Code(inner).bits
+    v = at = 0
     for x, extra, n in out:
-        s.put(*c.bits[x])
-        s.put(extra, n)
+        code, m = bits[x]
+        v |= (code | extra << m) << at
+        at += m + n
+    s.put(v, at)
     return Code(lengths)
 
 
@@ -501,62 +746,114 @@ def _prefix(v: int) -> tuple[int, int, int]:
     return 2 * top + half, v - ((2 + half) << (top - 1)), top - 1
 
 
-def put_pixels(s: Sink, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool = False, regions: np.ndarray | None = None, region_bits: int = 2) -> None:
-    """An entropy-coded image with Huffman codes; with references, runs that repeat the pixel or the row before become such."""
-    pixels = argb.tolist()
-    tokens: list[tuple] = []
-    groups = []
-    cache: dict[int, int] = {}
-    at = 0
-    while at < len(pixels):
-        groups.append(0 if regions is None else int(regions[at // width >> region_bits, at % width >> region_bits]))
-        best = (0, 0)
-        for d in (1, width, width + 1, 2 * width + 7) if references else ():
-            n = 0
-            while d <= at and at + n < len(pixels) and n < 4096 and pixels[at + n] == pixels[at + n - d]:
-                n += 1
-            best = max(best, (n, d))
-        if best[0] >= 4:
-            d = next((k + 1 for k, (x, y) in enumerate(NEAR) if max(1, x + y * width) == best[1]), best[1] + 120)
-            tokens.append(("ref", best[0], d))
-            n = best[0]
-        else:
-            v, n = pixels[at], 1
-            key = (CACHE_HASH * v & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else 0
-            tokens.append(("cache", key) if cache_bits and cache.get(key) == v else ("lit", v))
-        for v in pixels[at : at + n]:
-            if cache_bits:
-                cache[(CACHE_HASH * v & 0xFFFFFFFF) >> (32 - cache_bits)] = v
-        at += n
+@lru_cache(maxsize=4096)
+def _far(d: int, width: int) -> tuple[int, int, int]:
+    """Prefix symbol, extra value and its bits of the distance ``d``."""
+    return _prefix(next((k + 1 for k, (x, y) in enumerate(NEAR) if max(1, x + y * width) == d), d + 120))
+
+
+def _references(pixels: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of runs of four pixels or more that repeat the pixel or the row before."""
+    n = len(pixels)
+    run, far = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for d in (1, width, width + 1, 2 * width + 7):
+        if d + 4 > n:
+            continue
+        equal = pixels[d:] == pixels[:-d]
+        two = equal[1:] & equal[:-1]
+        four = np.flatnonzero(two[2:] & two[:-2])
+        if not len(four):
+            continue
+        ends = np.append(np.flatnonzero(~equal), n - d)
+        here = np.minimum(ends[np.searchsorted(ends, four)] - four, 4096)
+        better = here >= run[four + d]
+        run[four[better] + d], far[four[better] + d] = here[better], d
+    out, at = [], 0
+    spots = np.flatnonzero(run)
+    for i, m, d in zip(spots.tolist(), run[spots].tolist(), far[spots].tolist(), strict=True):
+        if i >= at:
+            out.append((i, m, d))
+            at = i + m
+    return out
+
+
+def put_pixels(s: Sink, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool | list[tuple[int, int, int]] = False, regions: np.ndarray | None = None, region_bits: int = 2) -> None:
+    """An entropy-coded image with Huffman codes; with references, runs that repeat the pixel or the row before, or those that are given as (start, length, distance), become such."""
+    pixels = np.asarray(argb, np.uint32)
+    refs = _references(pixels, width) if references is True else references or []
+    start = np.ones(len(pixels), bool)
+    for at, n, _ in refs:
+        start[at + 1 : at + n] = False
+    at = np.flatnonzero(start)
+    far = np.searchsorted(at, [r[0] for r in refs])
+    value = pixels[at]
+    differ = int(np.bitwise_or.reduce(value ^ value[0]))
+    steady = [not differ >> k & 255 for k in (8, 16, 0, 24)]
+    channels = [(value >> k & 255).astype(np.int64) if k == 8 or differ >> k & 255 else np.full(len(value), int(value[0]) >> k & 255) for k in (8, 16, 0, 24)]
+    literal = np.ones(len(at), bool)
+    if cache_bits:
+        # a pixel is in the cache if the last before it with its key is equal
+        key = _key(pixels, cache_bits).astype(np.uint16)
+        order = np.argsort(key, kind="stable")
+        hit = np.zeros(len(pixels), bool)
+        hit[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+        literal = ~hit[at]
+        channels[0] = np.where(literal, channels[0], 256 + LENGTHS + key[at].astype(np.int64))
+    lengths, distances = [_prefix(n) for _, n, _ in refs], [_far(d, width) for _, _, d in refs]
+    literal[far] = False
+    channels[0][far] = [256 + x for x, _, _ in lengths]
     s.put(bool(cache_bits), 1)
     if cache_bits:
         s.put(cache_bits, 4)
+    group = np.zeros(len(at), np.int64)
     if main:
         s.put(regions is not None, 1)
         if regions is not None:
+            group = np.asarray(regions)[at // width >> region_bits, at % width >> region_bits].astype(np.int64)
             s.put(region_bits - 2, 3)
             put_pixels(s, (regions.astype(np.uint32) << 8).ravel(), regions.shape[1], False)
-    symbols = {
-        "lit": lambda v: [v >> 8 & 255, v >> 16 & 255, v & 255, v >> 24],
-        "cache": lambda k: [256 + LENGTHS + k],
-        "ref": lambda n, d: [256 + _prefix(n)[0], None, None, None, _prefix(d)[0]],
-    }
-    counts = [[Counter() for _ in ALPHABETS] for _ in range(max(groups) + 1)]
-    for g, (kind, *v) in zip(groups, tokens, strict=True):
-        for c, x in zip(counts[g], symbols[kind](*v), strict=False):
-            if x is not None:
-                c[x] += 1
-    codes = [[put_code(s, code_lengths(c or {0: 1}, 15), n + ((1 << cache_bits) if cache_bits and not k else 0)) for k, (c, n) in enumerate(zip(cs, ALPHABETS, strict=True))] for cs in counts]
-    for g, (kind, *v) in zip(groups, tokens, strict=True):
-        x = symbols[kind](*v)
-        s.put(*codes[g][0].bits[x[0]])
-        if kind == "lit":
-            for k in (1, 2, 3):
-                s.put(*codes[g][k].bits[x[k]])
-        elif kind == "ref":
-            s.put(*_prefix(v[0])[1:])
-            s.put(*codes[g][4].bits[x[4]])
-            s.put(*_prefix(v[1])[1:])
+    v, m = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+
+    def append(i: np.ndarray | slice, bits: np.ndarray, n: np.ndarray) -> None:
+        v[i] |= bits << m[i]
+        m[i] += n
+
+    distance = np.array([x for x, _, _ in distances], np.int64)
+    number = lambda rows, k: np.array([r[k] for r in rows], np.uint64)
+    groups = 1 if regions is None else int(group.max()) + 1
+    for gi in range(groups):
+        whole = groups == 1
+        mine = np.arange(len(at)) if whole else np.flatnonzero(group == gi)
+        plain = mine[literal[mine]] if groups > 1 or not literal.all() else mine
+        there = np.arange(len(far)) if whole else np.flatnonzero(group[far] == gi)
+        used = [(mine, channels[0][mine]), *((plain, c[plain]) for c in channels[1:]), (far[there], distance[there])]
+        for k, ((i, x), size) in enumerate(zip(used, ALPHABETS, strict=True)):
+            size += (1 << cache_bits) if cache_bits and not k else 0
+            if 0 < k < 4 and (not len(x) or steady[k]):
+                put_code(s, {int(x[0]) if len(x) else 0: 1}, size)
+                continue
+            counts = np.bincount(x, minlength=1)
+            some = counts.nonzero()[0]
+            code = put_code(s, code_lengths(dict(zip(some.tolist(), counts[some].tolist(), strict=True)) or {0: 1}, 15), size)
+            if k == 4 and len(there):
+                append(i, number([lengths[j] for j in there], 1), number([lengths[j] for j in there], 2))
+            if code.only is None:
+                bits, n = code.written(size)
+                append(i, bits[x], n[x])
+        if len(there):
+            i = far[there]
+            append(i, number([distances[j] for j in there], 1), number([distances[j] for j in there], 2))
+    if m.any():
+        s.many(v, m)
+
+
+@lru_cache(maxsize=4096)
+def _side(pixels: bytes, width: int) -> np.ndarray:
+    """Bits of an image that a transform needs: many files have the same."""
+    s = Sink()
+    put_pixels(s, np.frombuffer(pixels, np.uint32), width, False)
+    s.flush()
+    return np.concatenate(s.parts)
 
 
 def _file(body: bytes) -> bytes:
@@ -572,7 +869,7 @@ def _head(s: Sink, width: int, height: int, alpha: bool) -> None:
     s.put(0, 3)
 
 
-def encode_frame(argb: np.ndarray, transforms: tuple = (), cache_bits: int = 0, references: bool = False, regions: np.ndarray | None = None, region_bits: int = 2) -> bytes:
+def encode_frame(argb: np.ndarray, transforms: tuple = (), cache_bits: int = 0, references: bool | list = False, regions: np.ndarray | None = None, region_bits: int = 2) -> bytes:
     """A lossless WebP file of an array (height, width) of ARGB.
 
     ``transforms`` in the order they are applied: ("predictor", bits, modes), ("cross", bits, elements as (rows, columns, 4)), ("subtract",), ("palette",).
@@ -584,19 +881,27 @@ def encode_frame(argb: np.ndarray, transforms: tuple = (), cache_bits: int = 0,
     for kind, *args in transforms:
         s.put(1, 1)
         if kind == "palette":
-            colours, index = np.unique(img, return_inverse=True)
+            level = (img >> 8 & 255).astype(np.uint8)
+            if (img == (level.astype(np.uint32) << 8 | np.uint32(0xFF000000))).all():
+                present = np.bincount(level.ravel(), minlength=256) > 0
+                colours, index = np.flatnonzero(present).astype(np.uint32) << 8 | np.uint32(0xFF000000), (np.cumsum(present) - 1)[level]
+            else:
+                colours, index = np.unique(img, return_inverse=True)
             if len(colours) > 256:
                 raise ValueError("too many colours for a palette")
             index = index.reshape(height, w)
             bits = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
             s.put(PALETTE, 2)
             s.put(len(colours) - 1, 8)
-            put_pixels(s, _join(np.diff(_split(colours), axis=0, prepend=0)), len(colours), False)
+            s.bits(_side(_join(np.diff(_split(colours), axis=0, prepend=0)).tobytes(), len(colours)))
             w = _spread(w, bits)
             index = np.pad(index, ((0, 0), (0, (w << bits) - index.shape[1]))).reshape(height, w, 1 << bits)
             img = ((index << ((8 >> bits) * np.arange(1 << bits))).sum(-1).astype(np.uint32) << 8) | np.uint32(0xFF000000)
             continue
-        c = _split(img)
+        if kind == "predictor" and not ((img & 0xFFFF00FF) ^ 0xFF000000).any():
+            c = img[..., None] >> 8 & 255
+        else:
+            c = _split(img)
         if kind == "subtract":
             s.put(SUBTRACT_GREEN, 2)
             c[..., 1] -= c[..., 2]
@@ -607,9 +912,9 @@ def encode_frame(argb: np.ndarray, transforms: tuple = (), cache_bits: int = 0,
             s.put(bits - 2, 3)
             side = np.asarray(data, np.uint32)
             side = (side << 8) | np.uint32(0xFF000000) if kind == "predictor" else _join(side)
-            put_pixels(s, side.ravel(), side.shape[1], False)
-            c = _predict(c, np.asarray(data), bits, True) if kind == "predictor" else _cross(c, np.asarray(data), bits, True)
-        img = _join(c)
+            s.bits(_side(side.tobytes(), side.shape[1]))
+            c = _predict(c.astype(np.int64), np.asarray(data), bits, True) if kind == "predictor" else _cross(c, np.asarray(data), bits, True)
+        img = _join(c) if c.shape[2] == 4 else c[..., 0].astype(np.uint32) << 8
     s.put(0, 1)
     put_pixels(s, img.ravel(), w, True, cache_bits, references, regions, region_bits)
     return _file(s.bytes())
@@ -624,41 +929,6 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return raw + bytes(64 * max(1, -(-len(raw) // 64)) - len(raw)), len(raw)
 
 
-@lru_cache(maxsize=64)
-def _flat_code(bits: int, lengths: bool, distances: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, Code, Code]:
-    """Bits of a header with codes of ``bits`` bits for indices (and length symbols), with the codes."""
-    s = Sink()
-    s.put(0, 1)  # no colour cache
-    s.put(0, 1)  # one group
-    n = 1 << bits
-    used = [*range(min(256, n - (LENGTHS if lengths else 0))), *(range(256, 256 + LENGTHS) if lengths else ())]
-    used += [x for x in range(256) if x not in used][: n - len(used)] if n > len(used) and n <= 256 else []
-    green = put_code(s, dict.fromkeys(sorted(used), bits), ALPHABETS[0])
-    put_code(s, {0: 1}, 256)
-    put_code(s, {0: 1}, 256)
-    put_code(s, {255: 1}, 256)
-    far = put_code(s, code_lengths(dict.fromkeys(distances or (0,), 1), 15), DISTANCES)
-    s.flush()
-    table = np.zeros((256 + LENGTHS, bits), np.uint8)
-    for x, (v, m) in green.bits.items():
-        table[x] = [v >> k & 1 for k in range(m)]
-    return np.concatenate(s.parts), table, green, far
-
-
-@lru_cache(maxsize=4096)
-def _palette(colours: bytes) -> np.ndarray:
-    """Bits of everything up to the image for grey levels in use: the palette transform."""
-    s = Sink()
-    s.put(1, 1)
-    s.put(PALETTE, 2)
-    s.put(len(colours) - 1, 8)
-    table = np.frombuffer(colours, np.uint8).astype(np.uint32) << 8 | np.uint32(0xFF000000)
-    put_pixels(s, _join(np.diff(_split(table), axis=0, prepend=0)), len(colours), False)
-    s.put(0, 1)
-    s.flush()
-    return np.concatenate(s.parts)
-
-
 def _repeats(payload: bytes) -> list[tuple[int, int, int]]:
     """(start, length, distance) of lines that occurred before in the payload."""
     if payload.count(b"\n") < 2:
@@ -676,61 +946,38 @@ def _repeats(payload: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-#: Of so many files one is written in each of these ways, chosen by a checksum of its bytes, whatever their number; all others by a palette and codes of one length, which are fast to read.
-#: So stored media hold every part of the format that the decoder knows.
-STYLED = 256
+#: Every file is written in one of these ways, chosen by a checksum of its bytes, all with prefix codes of unequal lengths and references:
+#: stored media hold every part of the format that the decoder knows.
 STYLES = ("predictor", "cross", "cache", "palette")
+STYLED = len(STYLES)
 
 
-def styled(payload: bytes, style: str) -> bytes:
-    """Bytes, a multiple of 64, as one file with prefix codes of unequal lengths and a transform, or with references and a colour cache."""
+def styled(payload: bytes, style: str, lines: list[tuple[int, int, int]] | None = None) -> bytes:
+    """Bytes, a multiple of 64, as one file with prefix codes of unequal lengths and a transform, or with references and a colour cache.
+
+    With ``lines``, (start, length, distance) of what occurred before, all styles have references.
+    """
     img = (np.frombuffer(payload, np.uint8).astype(np.uint32).reshape(-1, WIDTH) << 8) | np.uint32(0xFF000000)
     tiles = lambda bits: (-(-len(img) >> bits), -(-WIDTH >> bits))
+    refer = lines is not None
     if style == "predictor":
-        rows, columns = tiles(4)
-        return encode_frame(img, (("predictor", 4, np.arange(rows * columns).reshape(rows, columns) % 14),))
+        bits, at = (6, zlib.crc32(payload) // STYLED) if refer else (4, 0)
+        rows, columns = tiles(bits)
+        # equal lines need not have equal predictions
+        return encode_frame(img, (("predictor", bits, (at + np.arange(rows * columns).reshape(rows, columns)) % 14),), references=refer)
     if style == "cross":
-        return encode_frame(img, (("cross", 5, np.full((*tiles(5), 4), 32)), ("subtract",)))
+        return encode_frame(img, (("cross", 5, np.full((*tiles(5), 4), 32)), ("subtract",)), references=lines or refer)
     if style == "cache":
-        return encode_frame(img, (), 6, True)
-    return encode_frame(img, (("palette",),), 4, True)
+        return encode_frame(img, (), 6, lines or True)
+    # a palette of 16 colours or fewer joins pixels
+    return encode_frame(img, (("palette",),), 4, lines if lines and len(set(payload)) > 16 else True)
 
 
 def encode_bytes(payload: bytes) -> bytes:
     """Bytes, a multiple of 64, as lossless WebP: one file for each 64 x 16384 of them."""
     if len(payload) > FRAME_BYTES:
         return b"".join(encode_bytes(payload[k : k + FRAME_BYTES]) for k in range(0, len(payload), FRAME_BYTES))
-    if (which := zlib.crc32(payload) % STYLED) < len(STYLES):
-        return styled(payload, STYLES[which])
-    x = np.frombuffer(payload, np.uint8)
-    present = np.flatnonzero(np.bincount(x, minlength=256))
-    s = Sink()
-    _head(s, WIDTH, len(x) // WIDTH, False)
-    s.bits(_palette(present.astype(np.uint8).tobytes()))
-    place = np.zeros(256, np.uint8)
-    place[present] = np.arange(len(present), dtype=np.uint8)
-    index = place[x].astype(np.int64)
-    packed = 3 if len(present) <= 2 else 2 if len(present) <= 4 else 1 if len(present) <= 16 else 0
-    # codes of one length are complete with 256 symbols at most
-    repeats = [] if packed or len(present) > 256 - LENGTHS else _repeats(payload)
-    if packed:
-        index = (index.reshape(-1, 1 << packed) << ((8 >> packed) * np.arange(1 << packed))).sum(1)
-    top = int(index.max()) + 1
-    bits = max(1, (max(top, 2) + (LENGTHS if repeats else 0) - 1).bit_length())
-    dist = [_prefix(d + 120) for _, _, d in repeats]
-    head, table, green, far = _flat_code(bits, bool(repeats), tuple(sorted({p for p, _, _ in dist})))
-    s.bits(head)
-    at = 0
-    for (start, n, _), (p, extra, m) in zip(repeats, dist, strict=True):
-        s.bits(table[index[at:start]].ravel())
-        q, more, k = _prefix(n)
-        s.put(*green.bits[256 + q])
-        s.put(more, k)
-        s.put(*far.bits[p])
-        s.put(extra, m)
-        at = start + n
-    s.bits(table[index[at:]].ravel())
-    return _file(s.bytes())
+    return styled(payload, STYLES[zlib.crc32(payload) % STYLED], _repeats(payload))
 
 
 def decode_bytes(media: bytes) -> bytes:

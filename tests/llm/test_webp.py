@@ -130,3 +130,43 @@ def test_damage_in_a_column(spark):
     got = {r.doc_id: r for r in W.decode_media(df, outputs=("payload_bytes",), error_col="error").collect()}
     assert (got[1].payload_bytes, got[1].error) == (64, None) and (got[4].payload_bytes, got[4].error) == (None, None)
     assert got[2].payload_bytes is got[3].payload_bytes is None and got[2].error and got[3].error
+
+
+def test_every_stored_file_is_coded_in_full(spark):
+    """Each way of writing has its share of the files, and no file has codes of one length only."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300).collect()]
+    kinds, unequal = [], 0
+    codes = []
+    read = W.read_code
+    try:
+        W.read_code = lambda b, size: codes.append(read(b, size)) or codes[-1]
+        for t in texts:
+            media = W.encode_bytes(W.payload_of(t)[0])
+            b = W.Bits(media[20:])
+            b.at = 40
+            kinds.append(b.read(2) if b.read(1) else None)
+            codes.clear()
+            assert W.decode_bytes(media) == W.payload_of(t)[0]
+            unequal += len(set(codes[-5].n.tolist())) > 1
+    finally:
+        W.read_code = read
+    assert all(kinds.count(k) > 30 for k in (W.PREDICTOR, W.CROSS, W.PALETTE, None))
+    assert unequal > 290
+
+
+def test_damaged_bits():
+    rng = np.random.default_rng(7)
+    payload = W.payload_of("".join(chr(x) for x in rng.integers(32, 127, 900)) + "a line that comes again and again\n" * 9)[0]
+    for style in W.STYLES:
+        media = W.styled(payload, style, W._repeats(payload))
+        assert W.decode_bytes(media) == payload
+        for _ in range(40):
+            bad = bytearray(media)
+            bad[int(rng.integers(26, len(bad)))] ^= 1 << int(rng.integers(8))
+            try:
+                assert len(W.decode_bytes(bytes(bad))) == len(payload) or bad[21:25] != media[21:25]
+            except (ValueError, IndexError, KeyError):
+                pass
+        for n in rng.integers(27, len(media) - 2, 20).tolist():
+            with pytest.raises((ValueError, IndexError, KeyError)):
+                W.decode_frame(media[:n])
