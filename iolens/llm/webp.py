@@ -11,12 +11,13 @@ wide, with transforms, Huffman codes, a colour cache and backward references, al
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-import heapq
 import zlib
 from collections import Counter
 from collections.abc import Callable
 from functools import cached_property, lru_cache
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -55,37 +56,55 @@ def _reversed() -> np.ndarray:
     return sum((x >> k & 1) << (14 - k) for k in range(15))
 
 
+#: Of the 2^15 windows, how many begin with a symbol of so many bits.
+SHARES = 1 << np.arange(15, -1, -1)
+
+
 @lru_cache(maxsize=512)
 def _single(symbol: int) -> Code:
-    return Code({symbol: 1})
+    return Code(_row({symbol: 1}, symbol + 1))
+
+
+def _row(lengths: dict[int, int], size: int) -> np.ndarray:
+    row = np.zeros(size, np.uint8)
+    row[list(lengths)] = list(lengths.values())
+    return row
 
 
 class Code:
-    """A canonical prefix code by its lengths. ``table`` has symbols by the next ``most`` bits, the first of them the highest."""
+    """A canonical prefix code by the lengths of its symbols, 0 of those it lacks. ``table`` has symbols by the next ``most`` bits, the first of them the highest."""
 
-    def __init__(self, lengths: dict[int, int]):
-        used = sorted((n, s) for s, n in lengths.items() if n)
-        if not used:
+    def __init__(self, row: np.ndarray):
+        self.row = row
+        symbols = row.nonzero()[0]
+        if not len(symbols):
             raise BadImage("empty code")
-        self.only = used[0][1] if len(used) == 1 else None
+        self.only = int(symbols[0]) if len(symbols) == 1 else None
         if self.only is not None:
-            self.most, self.n, self.symbols, self.first = 0, np.zeros(1, np.int64), np.array([self.only]), np.zeros(1, np.int64)
+            self.most, self.n, self.symbols, self.first = 0, np.zeros(1, np.int64), symbols, np.zeros(1, np.int64)
             return
-        self.n, self.symbols = np.array(used).T
-        share = 1 << (15 - self.n)
-        self.first = np.cumsum(share) - share
-        if self.first[-1] + share[-1] != 1 << 15:
+        n = row[symbols]
+        order = n.argsort(kind="stable")
+        self.n, self.symbols = n[order].astype(np.int64), symbols[order]
+        self.share = SHARES[self.n]
+        end = self.share.cumsum()
+        if end[-1] != 1 << 15:
             raise BadImage("incomplete code")
+        self.first = end - self.share
         self.most = int(self.n[-1])
 
+    def by_window(self, x: np.ndarray) -> np.ndarray:
+        """What symbols have, by the next ``most`` bits."""
+        return x.repeat(self.share >> (15 - self.most)) if self.most else x
+
     @cached_property
     def table(self) -> np.ndarray:
-        return np.repeat(self.symbols, 1 << (self.most - self.n))
+        return self.by_window(self.symbols)
 
     @cached_property
     def sizes(self) -> np.ndarray:
         """Bits used, by the same index."""
-        return np.repeat(self.n, 1 << (self.most - self.n)).astype(np.uint8)
+        return self.by_window(self.n)
 
     def written(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Bits, the first of them the lowest, and their number, by symbol."""
@@ -94,8 +113,13 @@ class Code:
         return v, n
 
     @cached_property
-    def bits(self) -> dict[int, tuple[int, int]]:
-        return {x: (v, n) for x, v, n in zip(self.symbols.tolist(), _reversed()[self.first].tolist(), self.n.tolist(), strict=True)}
+    def looks(self) -> tuple[memoryview, memoryview]:
+        return memoryview(self.table), memoryview(self.sizes)
+
+
+#: Bytes with their bits in the opposite order, and the shifts to the eight windows that begin in a byte.
+MIRRORED = bytes(int(f"{x:08b}"[::-1], 2) for x in range(256))
+SHIFTS = np.arange(9, 1, -1, dtype=np.uint32)[:, None]
 
 
 class Bits:
@@ -105,9 +129,11 @@ class Bits:
     @cached_property
     def windows(self) -> np.ndarray:
         """The 15 bits from each place on, the first of them the highest; zeros after the end."""
-        x = np.packbits(np.unpackbits(np.frombuffer(self.data + bytes(4), np.uint8), bitorder="little")).astype(np.uint32)
+        x = np.frombuffer((self.data + bytes(4)).translate(MIRRORED), np.uint8).astype(np.uint32)
         x = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
-        return (x[:, None] >> np.arange(9, 1, -1, dtype=np.uint32) & 0x7FFF).astype(np.uint16).ravel()
+        x = (x >> SHIFTS).astype(np.uint16)
+        x &= 0x7FFF
+        return x.T.ravel()
 
     @cached_property
     def look(self) -> memoryview:
@@ -128,10 +154,11 @@ class Bits:
         if self.at >= self.end:
             raise BadImage("data end early")
         x = self.look[self.at] >> (15 - code.most)
-        self.at += int(code.sizes[x])
+        table, sizes = code.looks
+        self.at += sizes[x]
         if self.at > self.end:
             raise BadImage("data end early")
-        return int(code.table[x])
+        return table[x]
 
 
 @lru_cache(maxsize=4096)
@@ -156,37 +183,52 @@ def read_code(b: Bits, size: int) -> Code:
             symbols.append(b.read(8))
         if max(symbols) >= size:
             raise BadImage("symbol out of range")
-        return Code(dict.fromkeys(symbols, 1)) if two else _single(symbols[0])
+        return Code(_row(dict.fromkeys(symbols, 1), size)) if two else _single(symbols[0])
     n = 4 + b.read(4)
-    inner = Code({s: x for s in CODE_LENGTH_ORDER[:n] if (x := b.read(3))})
+    inner = b.read(3 * n)
+    table, sizes, most = _inner([(inner >> 3 * k & 7, s) for k, s in enumerate(CODE_LENGTH_ORDER[:n])])
     left = size if not b.read(1) else 2 + b.read(2 + 2 * b.read(3))
     if left > size:
         raise BadImage("too many code lengths")
-    lengths: dict[int, int] = {}
-    s, before, at, look, rest = 0, 8, b.at, b.look, 15 - inner.most
-    table, sizes = inner.table.tolist(), inner.sizes.tolist()
-    while s < size and left:
-        left -= 1
-        if at >= b.end:
-            raise BadImage("data end early")
-        w = look[at] >> rest
-        x = table[w]
-        at += sizes[w]
-        if x < 16:
-            if x:
-                lengths[s] = before = x
-            s += 1
-            continue
-        b.at = at
-        times = 3 + b.read(2) if x == 16 else 3 + b.read(3) if x == 17 else 11 + b.read(7)
-        at = b.at
-        if s + times > size:
-            raise BadImage("too many code lengths")
-        if x == 16:
-            lengths.update(dict.fromkeys(range(s, s + times), before))
-        s += times
+    row = bytearray(size)
+    s, before, at, look, rest = 0, 8, b.at, b.look, 15 - most
+    try:
+        while s < size and left:
+            left -= 1
+            w = look[at] >> rest
+            x = table[w]
+            at += sizes[w]
+            if x < 16:
+                if x:
+                    row[s] = before = x
+                s += 1
+                continue
+            b.at = at
+            times = 3 + b.read(2) if x == 16 else 3 + b.read(3) if x == 17 else 11 + b.read(7)
+            at = b.at
+            if s + times > size:
+                raise BadImage("too many code lengths")
+            if x == 16:
+                row[s : s + times] = bytes((before,)) * times
+            s += times
+    except IndexError:
+        at = b.end + 1
+    if at > b.end:
+        raise BadImage("data end early")
     b.at = at
-    return Code(lengths)
+    return Code(np.frombuffer(row, np.uint8))
+
+
+def _inner(lengths: list[tuple[int, int]]) -> tuple[bytes, bytes, int]:
+    """The code of code lengths, by (length, symbol): symbols and bits by the next bits, and how many of these."""
+    used = sorted(x for x in lengths if x[0])
+    if len(used) == 1:
+        return bytes((used[0][1],)), b"\0", 0
+    most = used[-1][0] if used else 0
+    table = b"".join([bytes((x,)) * (1 << (most - n)) for n, x in used])
+    if len(table) != 1 << most:
+        raise BadImage("incomplete code" if used else "empty code")
+    return table, b"".join([bytes((n,)) * (1 << (most - n)) for n, _ in used]), most
 
 
 # -- decoder -------------------------------------------------------------------
@@ -259,27 +301,34 @@ def _of_one_group(b: Bits, codes: list[Code], width: int, n: int, cache_bits: in
     base = b.at
     if green.only is not None:
         return np.full(n, rest[2].only << 24 | rest[0].only << 16 | green.only << 8 | rest[1].only, np.uint32)
-    refer = bool(((green.symbols >= 256) & (green.symbols < 256 + LENGTHS)).any())
+    refer = any(green.row[256 : 256 + LENGTHS].tobytes())
     longest = max(sum(c.most for c in codes[:4]), green.most + codes[4].most + 40 if refer else 0)
     win = b.windows[base : base + n * longest + 16]
     end = len(win) - 1
     if end < 1:
         raise BadImage("data end early")
-    x = win >> (15 - green.most)
+    look = (win >> (15 - green.most)).astype(np.int64)
     # references and the end are stops
-    sizes = np.where((green.table >= 256) & (green.table < 256 + LENGTHS), np.uint8(0), green.sizes)
-    own = sizes[x]
-    follow = np.arange(len(win)) + own
+    places = np.arange(len(win))
+    own = (green.by_window(np.where((green.symbols >= 256) & (green.symbols < 256 + LENGTHS), 0, green.n)) if refer else green.sizes).take(look, mode="clip")
+    follow = own + places
     if many := [c for c in rest if c.only is None]:
         pixel = follow
         for c in many:
-            pixel = pixel + c.sizes[win >> (15 - c.most)][np.minimum(pixel, end)]
+            size = c.sizes.take((win >> (15 - c.most)).astype(np.int64), mode="clip")
+            pixel = pixel + size.take(pixel, mode="clip")
         # references and entries of the cache have no other channels
-        follow = pixel if (green.symbols < 256).all() else np.where((green.table < 256)[x], pixel, follow)
-    np.minimum(follow, end, out=follow)
-    far = follow[follow]
-    far = far[far]
-    ahead = memoryview(far)
+        if cache_bits:
+            pixel = np.where((green.table < 256)[look], pixel, follow)
+        elif refer:
+            stops = (own == 0).nonzero()[0]
+            pixel[stops] = stops
+        follow = pixel
+    near_end = follow[-64:]  # a pixel has 60 bits at most
+    np.minimum(near_end, end, out=near_end)
+    two = follow.take(follow, mode="clip")
+    four = two.take(two, mode="clip")
+    ahead = memoryview(four.take(four, mode="clip"))
     steps: list[int] = []
     upto: list[int] = []
     runs: list[int] = []
@@ -287,7 +336,7 @@ def _of_one_group(b: Bits, codes: list[Code], width: int, n: int, cache_bits: in
     p, left = 0, n
     while left > 0:
         first = len(steps)
-        for _ in range(left // 4 + 2):
+        for _ in range(left // 8 + 2):
             steps.append(p)
             q = ahead[p]
             if q == p:
@@ -297,7 +346,7 @@ def _of_one_group(b: Bits, codes: list[Code], width: int, n: int, cache_bits: in
             p = end
         runs.append(len(steps) - first)
         upto.append(p)
-        left -= 4 * max(0, len(steps) - first - 2)
+        left -= 8 * max(0, len(steps) - first - 2)
         if p == end:
             break
         b.at = base + p
@@ -311,15 +360,19 @@ def _of_one_group(b: Bits, codes: list[Code], width: int, n: int, cache_bits: in
         p = b.at - base
         if p >= end:
             break
-    at = np.array(steps)
-    row = [at]
-    for _ in range(3):
-        at = follow[at]
-        row.append(at)
-    row = np.stack(row, 1)
-    real = row < np.repeat(upto, runs)[:, None]
-    ends = np.cumsum(np.add.reduceat(real.sum(1), np.cumsum(runs) - runs)).tolist()
-    starts, refs, total = row[real], [], 0  # references: literals and cached pixels before, length, distance
+    row = np.empty((len(steps), 8), np.int64)
+    row[:, 0] = steps
+    row[:, 4] = four.take(row[:, 0])
+    row[:, 2::4] = two.take(row[:, ::4])
+    row[:, 1::2] = follow.take(row[:, ::2])
+    refs, total = [], 0  # references: literals and cached pixels before, length, distance
+    if found:
+        real = (row < np.repeat(upto, runs)[:, None]).ravel().nonzero()[0]
+        ends = real.searchsorted([8 * k for k in accumulate(runs)]).tolist()
+        starts = row.ravel().take(real)
+    else:
+        ends, starts = [], row.ravel()[:n]
+        starts = starts[: int(starts.searchsorted(upto[0]))]
     for k, (length, d) in zip(ends, found, strict=False):
         if k + total >= n:
             break
@@ -334,42 +387,54 @@ def _of_one_group(b: Bits, codes: list[Code], width: int, n: int, cache_bits: in
     b.at = base + (_behind(b, base + upto[len(refs) - 1], green, codes[4]) - base if last else int(follow[starts[-1]]))
     if b.at > b.end:
         raise BadImage("data end early")
-    x = win[starts] >> (15 - green.most)
-    sym, at = green.table[x], starts + green.sizes[x]
+    x = look.take(starts)
+    sym = green.table.take(x)
     value = sym.astype(np.uint32) << 8
-    for c, shift in zip(rest, (16, 0, 24), strict=True):
-        if c.only is not None:
-            value |= np.uint32(c.only << shift)
-        else:
-            x = win[np.minimum(at, len(win) - 1)] >> (15 - c.most)
-            value |= c.table[x].astype(np.uint32) << shift
-            at = at + c.sizes[x]
-    cached = sym >= 256 + LENGTHS
-    if not cached.any():
+    steady = rest[0].only, rest[1].only, rest[2].only
+    value |= np.uint32((steady[0] or 0) << 16 | (steady[1] or 0) | (steady[2] or 0) << 24)
+    if many:
+        at = starts + green.sizes.take(x)
+        for c, shift in zip(rest, (16, 0, 24), strict=True):
+            if c.only is None:
+                x = win.take(at, mode="clip") >> (15 - c.most)
+                value |= c.table.take(x).astype(np.uint32) << shift
+                at += c.sizes.take(x)
+    if not cache_bits or not (cached := sym >= 256 + LENGTHS).any():
         return _copied(value, refs, n)
-    # a cached pixel is the last before it with its key: followed to a literal
-    keys = np.where(cached, sym - (256 + LENGTHS), _key(value, cache_bits)).astype(np.uint16)
-    key = _copied(keys, refs, n)
-    order = np.argsort(key, kind="stable")
-    before = np.full(n, n)
-    same = key[order[1:]] == key[order[:-1]]
-    before[order[1:][same]] = order[:-1][same]
-    own = np.arange(n)
-    fresh = np.ones(n, bool)
-    gone = 0
-    for k, length, d in refs:
-        a = k + gone
-        fresh[a : a + length] = False
-        own[a : a + length] -= d
-        gone += length
-    spots = np.flatnonzero(fresh)
+    # a cached pixel is the last before it with its key that is not cached itself
+    kind = np.uint8 if cache_bits <= 8 else np.uint16
+    key = _copied(np.where(cached, sym - (256 + LENGTHS), _key(value, cache_bits)).astype(kind), refs, n)
     pixels = np.zeros(n + 1, np.uint32)
-    pixels[spots] = np.where(cached, 0, value)
-    to = np.append(own, n)
-    to[spots[cached]] = before[spots[cached]]
-    while ((further := to[to]) != to).any():
-        to = further
-    return pixels[to[:n]]
+    to = np.arange(n + 1)
+    if refs:
+        fresh = np.ones(n, bool)
+        gone = 0
+        for k, length, d in refs:
+            a = k + gone
+            fresh[a : a + length] = False
+            to[a : a + length] -= d
+            gone += length
+        spots = fresh.nonzero()[0]
+        pixels[spots] = value
+        still = np.zeros(n, bool)
+        still[spots] = cached
+    else:
+        pixels[:n], still = value, cached
+    order = key.argsort(kind="stable")
+    held = ~still[order]
+    source = np.maximum.accumulate(np.where(held, np.arange(n), 0))
+    key = key[order]
+    there = held[source] & (key[source] == key)
+    lost = ~held
+    to[order[lost]] = np.where(there, order[source], n)[lost]
+    pixels[n] = 0
+    if refs:
+        loose = (to.take(to) != to).nonzero()[0]
+        while len(loose):
+            further = to.take(to.take(loose))
+            to[loose] = further
+            loose = loose[to.take(further) != further]
+    return pixels.take(to[:n])
 
 
 def _behind(b: Bits, at: int, green: Code, distance: Code) -> int:
@@ -393,24 +458,27 @@ def _copied(value: np.ndarray, refs: list[tuple[int, int, int]], n: int) -> np.n
     for k, length, d in refs:
         out[at : at + k - done] = value[done:k]
         at, done = at + k - done, k
-        out[at : at + length] = out[at - d : at - d + length] if d >= length else np.resize(out[at - d : at], length)
-        at += length
+        end = at + length
+        while d < end - at:  # what is copied doubles
+            out[at : at + d] = out[at - d : at]
+            at, d = at + d, 2 * d
+        out[at:end] = out[at - d : end - d]
+        at = end
     out[at:] = value[done:]
     return out
 
 
 def _split(argb: np.ndarray) -> np.ndarray:
     """(..., 4) channels alpha, red, green, blue."""
-    return np.stack([argb >> s & 255 for s in (24, 16, 8, 0)], -1).astype(np.int64)
+    return np.ascontiguousarray(argb, "<u4").view(np.uint8).reshape(*argb.shape, 4)[..., ::-1].astype(np.int16)
 
 
 def _join(c: np.ndarray) -> np.ndarray:
-    c = (c & 255).astype(np.uint32)
-    return c[..., 0] << 24 | c[..., 1] << 16 | c[..., 2] << 8 | c[..., 3]
+    return c.astype(np.uint8)[..., ::-1].copy().view("<u4")[..., 0].astype(np.uint32, copy=False)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint8).view(np.int8).astype(np.int64)
+    return x.astype(np.int8).astype(np.int16)
 
 
 def predicted(mode: int, left, top, top_right, top_left):
@@ -452,23 +520,39 @@ def predicted(mode: int, left, top, top_right, top_left):
 def _predict(img: np.ndarray, modes: np.ndarray, bits: int, forward: bool) -> np.ndarray:
     """Add (or, forward, take off) the predictions of an image of channels."""
     h, w = img.shape[:2]
-    mode = _modes(modes, bits, h, w)
     if not forward:
-        return _unpredict(img, mode)
+        return _unpredict(img, _modes(modes, bits, h, w))
     one = img.shape[2] == 1  # green alone: red and blue are 0, alpha 255
-    flat, mode = img.reshape(-1, img.shape[-1]), mode.ravel()
+    flat = np.ascontiguousarray(img).reshape(-1, img.shape[2])
     out = flat.copy()
-    for m in np.bincount(mode, minlength=1).nonzero()[0].tolist():
-        i = (mode == m).nonzero()[0]
-        # rows without one above have only modes 0 and 1
-        near = (flat[np.maximum(i - d, 0)] for d in (1, w, w - 1, w + 1))
-        out[i] = (flat[i] - (0 if one and not m else predicted(m, *near))) & 255
-    return out.reshape(img.shape)
+    grid = out.reshape(img.shape)
+    if h > 1 and w > 1:
+        most, others = int(modes[0, 0]), []
+        if modes.size > 1:
+            mode = _modes(modes, bits, h, w)
+            share = np.bincount(mode[1:, 1:].ravel())
+            most = int(share.argmax())
+            mode[0] = mode[:, 0] = most
+            share[most] = 0
+            others = share.nonzero()[0].tolist()
+        # the most frequent one as if everywhere
+        first, end = w + 1, len(flat)
+        if most or not one:
+            out[first:] -= predicted(most, *(flat[first - d : end - d] for d in (1, w, w - 1, w + 1)))
+        for m in others:
+            i = (mode.ravel() == m).nonzero()[0]
+            out[i] = flat[i] - (0 if one and not m else predicted(m, *(flat[i - d] for d in (1, w, w - 1, w + 1))))
+    # first row and column
+    grid[0, 1:] = img[0, 1:] - img[0, :-1]
+    grid[1:, 0] = img[1:, 0] - img[:-1, 0]
+    grid[0, 0] = img[0, 0] - (0 if one else predicted(0, img[0, 0], None, None, None))
+    out &= 255
+    return grid
 
 
 def _modes(modes: np.ndarray, bits: int, h: int, w: int) -> np.ndarray:
     """The predictor of each pixel: those of the first row and column are fixed."""
-    mode = np.repeat(np.repeat(modes, 1 << bits, 0)[:h], 1 << bits, 1)[:, :w].astype(np.int64)
+    mode = np.full((h, w), modes[0, 0], np.int64) if modes.size == 1 else modes.repeat(1 << bits, 0)[:h].repeat(1 << bits, 1)[:, :w].astype(np.int64)
     mode[0], mode[1:, 0], mode[0, 0] = 1, 2, 0
     return mode
 
@@ -481,74 +565,78 @@ def _unpredict(img: np.ndarray, mode: np.ndarray) -> np.ndarray:
     return out.reshape(img.shape)
 
 
+#: Values cut to a byte, from -255 on at the end; halves towards 0, from -255 on at the end.
+CLIPPED = [*range(256), *[255] * 255, *[0] * 255]
+HALVES = [*(x >> 1 for x in range(256)), *(-(x >> 1) for x in range(255, 0, -1))]
+
+
 def _unpredict_one(img: np.ndarray, mode: np.ndarray) -> np.ndarray:
     """The same where only green differs from its prediction: red and blue stay 0, alpha 255."""
     h, w = mode.shape
-    left = img.tobytes()  # what predictions left over
-    out = bytearray(h * w)
-    flat = mode.ravel()
-    new = np.concatenate([[True], flat[1:] != flat[:-1]])
-    new[::w] = True
-    cuts = new.nonzero()[0]
-    for s, e, m in zip(cuts.tolist(), [*cuts[1:].tolist(), h * w], flat[cuts].tolist(), strict=True):
-        if m == 2 and e == s + 1:
-            out[s] = left[s] + out[s - w] & 255
-            continue
-        rest, x = left[s:e], out[s - 1] if s else 0
+    out = bytearray(img.tobytes())  # at first what predictions left over
+    cell = np.frombuffer(out, np.uint8)
+    grid = cell.reshape(h, w)
+    add = np.add
+    add.accumulate(grid[0], out=grid[0])
+    add.accumulate(grid[:, 0], out=grid[:, 0])
+    if h == 1 or w == 1:
+        return grid
+    cuts = np.zeros((h, w), bool)
+    cuts[1:, 1] = True
+    if (mode[1:, 1:] != mode[1, 1]).any():
+        cuts[1:, 2:] = mode[1:, 2:] != mode[1:, 1:-1]
+    cuts = cuts.ravel().nonzero()[0]
+    starts = cuts.tolist()
+    for s, n, m in zip(starts, [*starts[1:], h * w + 1], mode.ravel()[cuts].tolist(), strict=True):
+        e = min(n, s - s % w + w)
         if m == 0 or m > 13:
-            out[s:e] = rest
             continue
         if m == 1:
-            got = [x := x + r & 255 for r in rest]
+            add.accumulate(cell[s - 1 : e], out=cell[s - 1 : e])
+        elif m < 5:
+            d = (w, w - 1, w + 1)[m - 2]
+            add(cell[s:e], cell[s - d : e - d], out=cell[s:e])
+        elif m in (8, 9):
+            d = w + 1 if m == 8 else w - 1
+            mean = add(cell[s - w : e - w], cell[s - d : e - d], dtype=np.uint16)
+            mean >>= 1
+            add(cell[s:e], mean, out=cell[s:e], casting="unsafe")
+        else:
+            x, rest, top, corner = out[s - 1], out[s:e], out[s - w : e - w], out[s - w - 1 : e - w - 1]
+            match m:
+                case 5:
+                    got = [x := r + ((x + c >> 1) + t >> 1) & 255 for r, t, c in zip(rest, top, out[s - w + 1 : e - w + 1], strict=True)]
+                case 6:
+                    got = [x := r + (x + c >> 1) & 255 for r, c in zip(rest, corner, strict=True)]
+                case 7:
+                    got = [x := r + (x + t >> 1) & 255 for r, t in zip(rest, top, strict=True)]
+                case 10:
+                    means = add(cell[s - w : e - w], cell[s - w + 1 : e - w + 1], dtype=np.uint16)
+                    means >>= 1
+                    got = [x := r + ((x + c >> 1) + t >> 1) & 255 for r, t, c in zip(rest, means.tolist(), corner, strict=True)]
+                case 11:
+                    steps = np.abs(np.subtract(cell[s - w : e - w], cell[s - w - 1 : e - w - 1], dtype=np.int16)).tolist()
+                    got = [x := r + (x if d < (x - c if x > c else c - x) else t) & 255 for r, t, c, d in zip(rest, top, corner, steps, strict=True)]
+                case 12:
+                    got = [x := r + CLIPPED[x + t - c] & 255 for r, t, c in zip(rest, top, corner, strict=True)]
+                case _:
+                    got = [x := r + CLIPPED[(a := x + t >> 1) + HALVES[a - c]] & 255 for r, t, c in zip(rest, top, corner, strict=True)]
             out[s:e] = bytes(got)
-            continue
-        top, corner, right = out[s - w : e - w], out[max(s - w - 1, 0) : max(e - w - 1, 0)], out[s - w + 1 : e - w + 1]
-        if len(corner) < e - s:  # the first column, where it is not asked for
-            corner = bytes(e - s - len(corner)) + corner
-        match m:
-            case 2:
-                got = [r + t & 255 for r, t in zip(rest, top, strict=True)]
-            case 3:
-                got = [r + t & 255 for r, t in zip(rest, right, strict=True)]
-            case 4:
-                got = [r + t & 255 for r, t in zip(rest, corner, strict=True)]
-            case 5:
-                got = [x := r + ((x + c >> 1) + t >> 1) & 255 for r, t, c in zip(rest, top, right, strict=True)]
-            case 6:
-                got = [x := r + (x + c >> 1) & 255 for r, c in zip(rest, corner, strict=True)]
-            case 7:
-                got = [x := r + (x + t >> 1) & 255 for r, t in zip(rest, top, strict=True)]
-            case 8:
-                got = [r + (c + t >> 1) & 255 for r, t, c in zip(rest, top, corner, strict=True)]
-            case 9:
-                got = [r + (c + t >> 1) & 255 for r, t, c in zip(rest, top, right, strict=True)]
-            case 10:
-                got = [x := r + ((x + c >> 1) + (t + q >> 1) >> 1) & 255 for r, t, c, q in zip(rest, top, corner, right, strict=True)]
-            case 11:
-                got = [x := r + (x if abs(t - c) < abs(x - c) else t) & 255 for r, t, c in zip(rest, top, corner, strict=True)]
-            case 12:
-                got = [x := r + (0 if (y := x + t - c) < 0 else 255 if y > 255 else y) & 255 for r, t, c in zip(rest, top, corner, strict=True)]
-            case _:
-                got = []
-                for r, t, c in zip(rest, top, corner, strict=True):
-                    a = x + t >> 1
-                    d = a - c
-                    a += -(-d >> 1) if d < 0 else d >> 1
-                    x = r + (0 if a < 0 else 255 if a > 255 else a) & 255
-                    got.append(x)
-        out[s:e] = bytes(got)
-    return np.frombuffer(out, np.uint8).reshape(h, w)
+    return grid
 
 
 def _cross(img: np.ndarray, elements: np.ndarray, bits: int, forward: bool) -> np.ndarray:
     h, w = img.shape[:2]
-    e = np.repeat(np.repeat(elements, 1 << bits, 0)[:h], 1 << bits, 1)[:, :w]
-    delta = lambda t, c: _signed(t) * _signed(c) >> 5
-    out, sign = img.copy(), -1 if forward else 1
-    red = img[..., 1]
-    out[..., 1] = (red + sign * delta(e[..., 3], img[..., 2])) & 255
-    whole = red if forward else out[..., 1]
-    out[..., 3] = (img[..., 3] + sign * (delta(e[..., 2], img[..., 2]) + delta(e[..., 1], whole))) & 255
+    if (elements == elements[0, 0]).all():
+        e = elements[0, 0]
+    else:
+        e = elements.repeat(1 << bits, 0)[:h].repeat(1 << bits, 1)[:, :w]
+    delta = lambda t, c: _signed(t) * c >> 5
+    out, green = img.copy(), _signed(img[..., 2])
+    change = np.subtract if forward else np.add
+    out[..., 1] = change(img[..., 1], delta(e[..., 3], green)) & 255
+    whole = img[..., 1] if forward else out[..., 1]
+    out[..., 3] = change(img[..., 3], delta(e[..., 2], green) + delta(e[..., 1], _signed(whole))) & 255
     return out
 
 
@@ -581,8 +669,10 @@ def decode_frame(data: bytes) -> np.ndarray:
             bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             undo.append((kind, w, bits, colours))
             w = _spread(w, bits)
-    img = read_pixels(b, w, height, True).reshape(height, w)
+    img, c = read_pixels(b, w, height, True).reshape(height, w), None
     for kind, w, *rest in reversed(undo):
+        if c is not None and kind in (PALETTE, PREDICTOR):
+            img, c = _join(c), None
         if kind == PALETTE:
             bits, colours = rest
             index = img >> 8 & 255
@@ -596,16 +686,17 @@ def decode_frame(data: bytes) -> np.ndarray:
         if kind == PREDICTOR and not (img & 0xFFFF00FF).any():
             img = _unpredict_one((img >> 8).astype(np.uint8), _modes(rest[1][..., 2], rest[0], height, w)).astype(np.uint32) << 8 | np.uint32(0xFF000000)
             continue
-        c = _split(img)
+        if c is None:
+            c = _split(img)
         if kind == SUBTRACT_GREEN:
             c[..., 1] += c[..., 2]
             c[..., 3] += c[..., 2]
+            c &= 255
         elif kind == CROSS:
             c = _cross(c, rest[1], rest[0], False)
         else:
             c = _predict(c, rest[1][..., 2], rest[0], False)
-        img = _join(c)
-    return img
+    return img if c is None else _join(c)
 
 
 def frames(data: bytes) -> list[bytes]:
@@ -621,24 +712,36 @@ def frames(data: bytes) -> list[bytes]:
 # -- encoder -------------------------------------------------------------------
 
 
+@lru_cache(maxsize=1)
+def _below() -> np.ndarray:
+    """Row n marks the first n of 16."""
+    return np.arange(16) < np.arange(17)[:, None]
+
+
 class Sink:
     """Collects bits, lowest first."""
 
     def __init__(self):
         self.value = self.n = 0
-        self.parts: list[np.ndarray] = []
 
     def put(self, v: int, n: int) -> None:
         self.value |= v << self.n
         self.n += n
 
-    def bits(self, a: np.ndarray) -> None:
-        self.flush()
-        self.parts.append(a)
-
     def many(self, v: np.ndarray, n: np.ndarray) -> None:
         """Values of n bits each, 60 at most."""
-        end = np.cumsum(n)
+        widest = int(n.max())
+        if widest <= 16 and v.dtype == "<u8":
+            bits = np.unpackbits(v.view(np.uint8).reshape(-1, 8)[:, :2], axis=1, bitorder="little")
+            bits = bits[_below().take(n.astype(np.int64), 0)]
+            self.put(int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little"), len(bits))
+            return
+        while widest <= 30 and len(v) > 1:
+            # two neighbours are one value
+            if len(v) & 1:
+                v, n = np.append(v, np.uint64(0)), np.append(n, np.uint64(0))
+            v, n, widest = v[::2] | v[1::2] << n[::2], n[::2] + n[1::2], 2 * widest
+        end = n.cumsum()
         at = end - n
         word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
         words = np.zeros(int(end[-1]) // 64 + 2, np.uint64)
@@ -646,94 +749,124 @@ class Sink:
         words[word[first]] = np.add.reduceat(v << shift, first)
         over = (shift + n > 64).nonzero()[0]
         words[word[over] + 1] += v[over] >> (np.uint64(64) - shift[over])
-        self.bits(np.unpackbits(words.view(np.uint8), bitorder="little")[: int(end[-1])])
-
-    def flush(self) -> None:
-        if self.n:
-            raw = np.frombuffer(self.value.to_bytes((self.n + 7) >> 3, "little"), np.uint8)
-            self.parts.append(np.unpackbits(raw, bitorder="little")[: self.n])
-            self.value = self.n = 0
+        self.put(int.from_bytes(words.astype("<u8", copy=False).tobytes(), "little"), int(end[-1]))
 
     def bytes(self) -> bytes:
-        self.flush()
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+        return self.value.to_bytes((self.n + 7) >> 3, "little")
 
 
-def code_lengths(counts: dict[int, int], most: int) -> dict[int, int]:
-    """Lengths of a Huffman code, at most ``most``."""
-    if len(counts) == 1:
-        return dict.fromkeys(counts, 1)
-    floor = 1
+def code_lengths(counts: list[int], most: int) -> list[int]:
+    """Lengths of a Huffman code, at most ``most``, for symbols with so many uses. Of equal weights leaves come first, then what was joined first."""
+    n = len(counts)
+    if n == 1:
+        return [1]
+    floor, none = 1, 1 << 62
     while True:
-        leaves, n = sorted(counts), len(counts)
-        # weight and node in one number
-        heap = [max(counts[x], floor) << 13 | k for k, x in enumerate(leaves)]
-        heapq.heapify(heap)
-        up = [0] * (2 * n - 1)
-        for node in range(n, 2 * n - 1):
-            x = heapq.heappop(heap)
-            y = heap[0]
-            up[x & 8191] = up[y & 8191] = node
-            heapq.heapreplace(heap, (x >> 13) + (y >> 13) << 13 | node)
-        depth = [0] * (2 * n - 1)
-        for x in range(2 * n - 3, -1, -1):
-            depth[x] = depth[up[x]] + 1
-        if max(depth[:n]) <= most:
-            return dict(zip(leaves, depth, strict=False))
+        weights = counts if floor == 1 else [max(x, floor) for x in counts]
+        order = sorted(range(n), key=weights.__getitem__)
+        # leaves and joined nodes both come by weight: the two lightest are at the heads
+        leaf, joined = [weights[k] for k in order], [none] * n
+        leaf += (none, none)
+        leaf_up, up = [0] * n, [0] * n
+        i = j = 0
+        for k in range(n - 1):
+            x, y = leaf[i], joined[j]
+            if x <= y:
+                leaf_up[i] = k
+                i += 1
+            else:
+                x = y
+                up[j] = k
+                j += 1
+            y, z = leaf[i], joined[j]
+            if y <= z:
+                leaf_up[i] = k
+                i += 1
+            else:
+                y = z
+                up[j] = k
+                j += 1
+            joined[k] = x + y
+        depth = [1] * n
+        for k in range(n - 3, -1, -1):
+            depth[k] = depth[up[k]] + 1
+        if depth[leaf_up[0]] <= most:  # the lightest is the deepest
+            out = [0] * n
+            for k, x in zip(order, leaf_up, strict=True):
+                out[k] = depth[x]
+            return out
         floor *= 2
 
 
-def put_code(s: Sink, lengths: dict[int, int], size: int) -> Code:
-    if len(lengths) == 1 and (only := next(iter(lengths))) < 256:
+#: Bits of a count by the symbol of a repetition.
+EXTRA = {16: 2, 17: 3, 18: 7}
+
+
+def put_code(s: Sink, symbols: list[int], counts: list[int], size: int) -> Code:
+    """The Huffman code of the symbols (ascending) with so many uses."""
+    if len(symbols) == 1 and (only := symbols[0]) < 256:
         s.put(1 | (4 | only << 3 if only > 1 else only << 3), 11 if only > 1 else 4)
         return _single(only)
-    used = sorted(k for k, n in lengths.items() if n)
-    if len(used) <= 2 and used[-1] < 256 and (len(used) == 1 or lengths[used[0]] == 1):
-        s.put(1, 1)
-        s.put(len(used) - 1, 1)
-        wide = used[0] > 1
-        s.put(wide, 1)
-        s.put(used[0], 8 if wide else 1)
-        if len(used) == 2:
-            s.put(used[1], 8)
-        return Code(dict.fromkeys(used, 1)) if len(used) == 2 else _single(used[0])
-    out: list[tuple[int, int, int]] = []  # symbol, extra, its bits
-    row = np.zeros(size, np.int64)
-    row[list(lengths)] = list(lengths.values())
+    lengths = code_lengths(counts, 15)
+    if len(symbols) == 2 and symbols[1] < 256:
+        wide = symbols[0] > 1
+        s.put(3 | wide << 2, 3)
+        s.put(symbols[0], 8 if wide else 1)
+        s.put(symbols[1], 8)
+        return Code(_row(dict.fromkeys(symbols, 1), size))
+    out: list[int] = []  # symbol, from bit 5 on how often it stands
+    row = np.zeros(size, np.uint8)
+    row[symbols] = lengths
     turns = [0, *((row[1:] != row[:-1]).nonzero()[0] + 1).tolist()]
     before = 8
     for n, k, end in zip(row[turns].tolist(), turns, [*turns[1:], size], strict=True):
         run = end - k
         if n and n != before:
-            out.append((n, 0, 0))
+            out.append(n)
+            if run == 1:
+                before = n
+                continue
             before, run = n, run - 1
         while run >= 3:
             if n:
-                m = min(run, 6)
-                out.append((16, m - 3, 2))
+                m = run if run < 6 else 6
+                out.append(16 | (m - 3) << 5)
             elif run <= 10:
                 m = run
-                out.append((17, m - 3, 3))
+                out.append(17 | (m - 3) << 5)
             else:
-                m = min(run, 138)
-                out.append((18, m - 11, 7))
+                m = run if run < 138 else 138
+                out.append(18 | (m - 11) << 5)
             run -= m
-        out += [(n, 0, 0)] * run
-    inner = code_lengths(Counter(x for x, _, _ in out), 7)
-    last = max(i for i, x in enumerate(CODE_LENGTH_ORDER) if inner.get(x))
-    s.put(0, 1)
-    s.put(max(0, last - 3), 4)
+        if run:
+            out += [n] * run
+    uses = [0] * 19
+    parts = Counter(out)
+    for x, n in parts.items():
+        uses[x & 31] += n
+    used = [x for x in range(19) if uses[x]]
+    inner = [0] * 19
+    for x, n in zip(used, code_lengths([uses[x] for x in used], 7), strict=True):
+        inner[x] = n
+    last = max(i for i, x in enumerate(CODE_LENGTH_ORDER) if inner[x])
+    v = max(0, last - 3) << 1
+    at = 5
     for x in CODE_LENGTH_ORDER[: max(4, last + 1)]:
-        s.put(inner.get(x, 0), 3)
-    s.put(0, 1)
-    bits = Code(inner).bits
-    v = at = 0
-    for x, extra, n in out:
-        code, m = bits[x]
-        v |= (code | extra << m) << at
-        at += m + n
-    s.put(v, at)
-    return Code(lengths)
+        v |= inner[x] << at
+        at += 3
+    s.put(v, at + 1)
+    bits, first = [""] * 19, 0
+    for n, x in sorted((inner[x], x) for x in used):
+        if len(used) > 1:
+            bits[x] = f"{first:015b}"[:n]
+        first += 1 << (15 - n)
+    # the first bit is the last of the number
+    for x in parts:
+        k = x & 31
+        parts[x] = bits[k] + f"{x >> 5:0{EXTRA[k]}b}"[::-1] if k > 15 else bits[k]
+    text = "".join([parts[x] for x in out])
+    s.put(int(text[::-1] or "0", 2), len(text))
+    return Code(row)
 
 
 def _prefix(v: int) -> tuple[int, int, int]:
@@ -755,64 +888,88 @@ def _far(d: int, width: int) -> tuple[int, int, int]:
 def _references(pixels: np.ndarray, width: int) -> list[tuple[int, int, int]]:
     """(start, length, distance) of runs of four pixels or more that repeat the pixel or the row before."""
     n = len(pixels)
-    run, far = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for d in (1, width, width + 1, 2 * width + 7):
+    runs: list[tuple[int, int, int, int]] = []  # end, start, distance by preference, distance
+    for k, d in enumerate((1, width, width + 1, 2 * width + 7)):
         if d + 4 > n:
             continue
-        equal = pixels[d:] == pixels[:-d]
-        two = equal[1:] & equal[:-1]
-        four = np.flatnonzero(two[2:] & two[:-2])
-        if not len(four):
-            continue
-        ends = np.append(np.flatnonzero(~equal), n - d)
-        here = np.minimum(ends[np.searchsorted(ends, four)] - four, 4096)
-        better = here >= run[four + d]
-        run[four[better] + d], far[four[better] + d] = here[better], d
-    out, at = [], 0
-    spots = np.flatnonzero(run)
-    for i, m, d in zip(spots.tolist(), run[spots].tolist(), far[spots].tolist(), strict=True):
-        if i >= at:
-            out.append((i, m, d))
-            at = i + m
+        equal = (pixels[d:] == pixels[:-d]).tobytes()
+        at = equal.find(FOUR)
+        while at >= 0:
+            end = equal.find(b"\0", at)
+            end = end if end >= 0 else n - d
+            runs.append((at + d, end + d, k, d))
+            at = equal.find(FOUR, end)
+    runs.sort()
+    out, at, first = [], 0, 0
+    while first < len(runs):
+        # the first place from here on that a run of four or more covers, and the longest run there
+        while first < len(runs) and runs[first][1] - 4 < at:
+            first += 1
+        if first == len(runs):
+            break
+        i, best = max(at, runs[first][0]), (0, 0, 0)
+        for j in range(first, len(runs)):
+            start, end, k, d = runs[j]
+            if start > i:
+                break
+            if end - 4 >= i and (m := (min(end - i, 4096), k, d)) > best:
+                best = m
+        out.append((i, best[0], best[2]))
+        at = i + best[0]
     return out
 
 
+#: Four equal pixels in a comparison.
+FOUR = b"\1\1\1\1"
+
+
 def put_pixels(s: Sink, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, references: bool | list[tuple[int, int, int]] = False, regions: np.ndarray | None = None, region_bits: int = 2) -> None:
     """An entropy-coded image with Huffman codes; with references, runs that repeat the pixel or the row before, or those that are given as (start, length, distance), become such."""
     pixels = np.asarray(argb, np.uint32)
     refs = _references(pixels, width) if references is True else references or []
-    start = np.ones(len(pixels), bool)
-    for at, n, _ in refs:
-        start[at + 1 : at + n] = False
-    at = np.flatnonzero(start)
-    far = np.searchsorted(at, [r[0] for r in refs])
-    value = pixels[at]
+    at, far, value = None, [], pixels  # where symbols begin, if not at every pixel; references among them
+    if refs:
+        start = np.ones(len(pixels), bool)
+        for k, n, _ in refs:
+            start[k + 1 : k + n] = False
+        at = start.nonzero()[0]
+        far = at.searchsorted([r[0] for r in refs])
+        value = pixels[at]
     differ = int(np.bitwise_or.reduce(value ^ value[0]))
     steady = [not differ >> k & 255 for k in (8, 16, 0, 24)]
-    channels = [(value >> k & 255).astype(np.int64) if k == 8 or differ >> k & 255 else np.full(len(value), int(value[0]) >> k & 255) for k in (8, 16, 0, 24)]
-    literal = np.ones(len(at), bool)
+    channels = [(value >> k & 255).astype(np.int64) if k == 8 or not same else int(value[0]) >> k & 255 for k, same in zip((8, 16, 0, 24), steady, strict=True)]
+    literal = None  # if not all are
     if cache_bits:
         # a pixel is in the cache if the last before it with its key is equal
-        key = _key(pixels, cache_bits).astype(np.uint16)
-        order = np.argsort(key, kind="stable")
+        key = _key(pixels, cache_bits).astype(np.uint8 if cache_bits <= 8 else np.uint16)
+        order = key.argsort(kind="stable")
         hit = np.zeros(len(pixels), bool)
-        hit[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
-        literal = ~hit[at]
-        channels[0] = np.where(literal, channels[0], 256 + LENGTHS + key[at].astype(np.int64))
+        by_key, by_pixel = key[order], pixels[order]
+        hit[order[1:]] = (by_key[1:] == by_key[:-1]) & (by_pixel[1:] == by_pixel[:-1])
+        if refs:
+            hit, key = hit[at], key[at]
+        literal = ~hit
+        channels[0] = np.where(hit, key + np.int64(256 + LENGTHS), channels[0])
     lengths, distances = [_prefix(n) for _, n, _ in refs], [_far(d, width) for _, _, d in refs]
-    literal[far] = False
-    channels[0][far] = [256 + x for x, _, _ in lengths]
+    if refs:
+        if literal is None:
+            literal = np.ones(len(at), bool)
+        literal[far] = False
+        channels[0][far] = [256 + x for x, _, _ in lengths]
     s.put(bool(cache_bits), 1)
     if cache_bits:
         s.put(cache_bits, 4)
-    group = np.zeros(len(at), np.int64)
+    group, groups = None, 1
     if main:
         s.put(regions is not None, 1)
         if regions is not None:
-            group = np.asarray(regions)[at // width >> region_bits, at % width >> region_bits].astype(np.int64)
+            places = np.arange(len(pixels)) if at is None else at
+            group = np.asarray(regions)[places // width >> region_bits, places % width >> region_bits].astype(np.int64)
+            groups = int(group.max()) + 1
             s.put(region_bits - 2, 3)
             put_pixels(s, (regions.astype(np.uint32) << 8).ravel(), regions.shape[1], False)
-    v, m = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    v, m = np.zeros(len(value), np.uint64), np.zeros(len(value), np.uint64)
+    everywhere = slice(None)
 
     def append(i: np.ndarray | slice, bits: np.ndarray, n: np.ndarray) -> None:
         v[i] |= bits << m[i]
@@ -820,26 +977,35 @@ def put_pixels(s: Sink, argb: np.ndarray, width: int, main: bool, cache_bits: in
 
     distance = np.array([x for x, _, _ in distances], np.int64)
     number = lambda rows, k: np.array([r[k] for r in rows], np.uint64)
-    groups = 1 if regions is None else int(group.max()) + 1
     for gi in range(groups):
-        whole = groups == 1
-        mine = np.arange(len(at)) if whole else np.flatnonzero(group == gi)
-        plain = mine[literal[mine]] if groups > 1 or not literal.all() else mine
-        there = np.arange(len(far)) if whole else np.flatnonzero(group[far] == gi)
-        used = [(mine, channels[0][mine]), *((plain, c[plain]) for c in channels[1:]), (far[there], distance[there])]
-        for k, ((i, x), size) in enumerate(zip(used, ALPHABETS, strict=True)):
-            size += (1 << cache_bits) if cache_bits and not k else 0
-            if 0 < k < 4 and (not len(x) or steady[k]):
-                put_code(s, {int(x[0]) if len(x) else 0: 1}, size)
+        mine = everywhere if groups == 1 else (group == gi).nonzero()[0]
+        plain = mine if literal is None else literal.nonzero()[0] if groups == 1 else mine[literal[mine]]
+        there = range(len(far)) if groups == 1 else (group[far] == gi).nonzero()[0]
+        for k, (i, x, size) in enumerate(zip((mine, plain, plain, plain, None), (*channels, distance), ALPHABETS, strict=True)):
+            if not k:
+                size += (1 << cache_bits) if cache_bits else 0
+            elif k < 4 and steady[k]:
+                put_code(s, [x if plain is everywhere or len(plain) else 0], [1], size)
+                continue
+            elif k == 4:
+                i = far[there] if len(there) else far
+                x = x[there] if len(there) else x[:0]
+            if k < 4 and i is not everywhere:
+                x = x[i]
+            if 0 < k < 4 and not len(x):
+                put_code(s, [0], [1], size)
                 continue
             counts = np.bincount(x, minlength=1)
             some = counts.nonzero()[0]
-            code = put_code(s, code_lengths(dict(zip(some.tolist(), counts[some].tolist(), strict=True)) or {0: 1}, 15), size)
+            code = put_code(s, some.tolist() or [0], counts[some].tolist() or [1], size)
             if k == 4 and len(there):
                 append(i, number([lengths[j] for j in there], 1), number([lengths[j] for j in there], 2))
             if code.only is None:
                 bits, n = code.written(size)
-                append(i, bits[x], n[x])
+                if k:
+                    append(i, bits[x], n[x])
+                else:
+                    v[i], m[i] = bits[x], n[x]
         if len(there):
             i = far[there]
             append(i, number([distances[j] for j in there], 1), number([distances[j] for j in there], 2))
@@ -848,12 +1014,11 @@ def put_pixels(s: Sink, argb: np.ndarray, width: int, main: bool, cache_bits: in
 
 
 @lru_cache(maxsize=4096)
-def _side(pixels: bytes, width: int) -> np.ndarray:
+def _side(pixels: bytes, width: int) -> tuple[int, int]:
     """Bits of an image that a transform needs: many files have the same."""
     s = Sink()
     put_pixels(s, np.frombuffer(pixels, np.uint32), width, False)
-    s.flush()
-    return np.concatenate(s.parts)
+    return s.value, s.n
 
 
 def _file(body: bytes) -> bytes:
@@ -893,13 +1058,15 @@ def encode_frame(argb: np.ndarray, transforms: tuple = (), cache_bits: int = 0,
             bits = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
             s.put(PALETTE, 2)
             s.put(len(colours) - 1, 8)
-            s.bits(_side(_join(np.diff(_split(colours), axis=0, prepend=0)).tobytes(), len(colours)))
+            s.put(*_side(_join(np.diff(_split(colours), axis=0, prepend=0)).tobytes(), len(colours)))
             w = _spread(w, bits)
-            index = np.pad(index, ((0, 0), (0, (w << bits) - index.shape[1]))).reshape(height, w, 1 << bits)
-            img = ((index << ((8 >> bits) * np.arange(1 << bits))).sum(-1).astype(np.uint32) << 8) | np.uint32(0xFF000000)
+            if bits:
+                index = np.pad(index, ((0, 0), (0, (w << bits) - index.shape[1]))).reshape(height, w, 1 << bits)
+                index = (index << ((8 >> bits) * np.arange(1 << bits))).sum(-1)
+            img = (index.astype(np.uint32) << 8) | np.uint32(0xFF000000)
             continue
         if kind == "predictor" and not ((img & 0xFFFF00FF) ^ 0xFF000000).any():
-            c = img[..., None] >> 8 & 255
+            c = (img[..., None] >> 8 & 255).astype(np.int16)
         else:
             c = _split(img)
         if kind == "subtract":
@@ -912,8 +1079,8 @@ def encode_frame(argb: np.ndarray, transforms: tuple = (), cache_bits: int = 0,
             s.put(bits - 2, 3)
             side = np.asarray(data, np.uint32)
             side = (side << 8) | np.uint32(0xFF000000) if kind == "predictor" else _join(side)
-            s.bits(_side(side.tobytes(), side.shape[1]))
-            c = _predict(c.astype(np.int64), np.asarray(data), bits, True) if kind == "predictor" else _cross(c, np.asarray(data), bits, True)
+            s.put(*_side(side.tobytes(), side.shape[1]))
+            c = _predict(c, np.asarray(data), bits, True) if kind == "predictor" else _cross(c, np.asarray(data), bits, True)
         img = _join(c) if c.shape[2] == 4 else c[..., 0].astype(np.uint32) << 8
     s.put(0, 1)
     put_pixels(s, img.ravel(), w, True, cache_bits, references, regions, region_bits)
@@ -991,6 +1158,14 @@ def feature_of(samples: bytes) -> str:
     return np.packbits(64 * means > means.sum()).tobytes().hex()
 
 
+def _hold_memory() -> None:
+    """Let the C library keep what arrays of some hundred kB give back until the task ends: new pages for each of them cost more than the work on them."""
+    set_option = getattr(ctypes.CDLL(None), "mallopt", None)  # not every C library has it
+    if set_option:
+        set_option(-3, 16 << 20)  # M_MMAP_THRESHOLD
+        set_option(-1, 64 << 20)  # M_TRIM_THRESHOLD
+
+
 def _remembering(f: Callable, most: int = 1 << 24) -> Callable:
     """``f`` of bytes, with results for the inputs met lately, up to so many bytes: many rows are copies of others."""
     held: dict[bytes, object] = {}
@@ -1019,6 +1194,7 @@ def store_texts(df: DataFrame, keep: dict[str, Column] | None = None, text_col:
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", n_bytes bigint, media binary"
 
     def start():
+        _hold_memory()
         encode = _remembering(encode_bytes)
 
         def batch(*cols):
@@ -1059,6 +1235,7 @@ def decode_media(df: DataFrame, media_col: str = "media", outputs: tuple[str, ..
         return got
 
     def start():
+        _hold_memory()
         read = one if arrays else _remembering(one)
 
         def safe(media: bytes) -> tuple[dict | None, str | None]:
